@@ -37,6 +37,11 @@ def broadcast_value(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def broadcast_if(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A broadcast hint if the (checkpointed) table has at most ``most`` rows; else the planner's own choice of a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def label_sample(labels: DataFrame, column: str, bound: int, seed: int = 17) -> DataFrame:
     """At most ``bound`` labelled rows, those with the smallest hash of ``doc_id``: (doc_id, label).
 
