@@ -26,6 +26,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables written between steps."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are in the shared folder and survive the loss of any executor."""
     _ensure_checkpoint_dir(df.sparkSession)
