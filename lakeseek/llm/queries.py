@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, pii, quality
+from . import fingerprint, mixing, ngram_join, packing, pii, quality
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.sketch(read(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(read(spark, sf_dir, "documents"))
 
@@ -35,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.ORACLE}
+    return {"op1_scaled_sketch": fingerprint.ORACLE, "op8_source_mixing": mixing.ORACLE}
