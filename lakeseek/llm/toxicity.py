@@ -3,10 +3,12 @@
 Severity grades 0 < 1 < 2 < 3 share one weight vector over hashed words; ordered thresholds part them:
 ``P(y > k) = sigmoid(w . x - theta_k)``. The score is the expected severity, ``sum over k of P(y > k)``.
 
-The model is fitted on at most ``fit_rows`` labelled documents. Where the labels hold grades above 1, they are the severities;
+The model is fitted on at most ``fit_rows`` labelled documents, one of each label and group of near copies (least trigram hash), so
+that a text copied a thousand times is one observation. Where the labels hold grades above 1, they are the severities;
 labels of 0 and 1 are graded by the number of distinct indicative words, those that labelled toxic texts hold significantly more
-often than others: a toxic text with up to one is mild, with two or three moderate, with more severe. Only features whose use
-differs significantly between the classes have a weight, so the length of a clean text does not raise its score.
+often than others (signed root of the likelihood ratio): a toxic text with up to one is mild, with two or three moderate, with more
+severe. Features are words and the first four bytes of words of six and more. Only indicative features have a weight, so the
+length of a clean text does not raise its score.
 
 Defined cases: a null or empty text has no features and the score of the thresholds alone; a null id is scored and stays null;
 repeated rows are scored alike; without labels of both classes every severity is 0; an empty table gives an empty result; other
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_value, label_sample
-from .tokens import U, distinct_by_row, lists, pieces, rows_of, text_buffer, tokens
+from .tokens import FOLDED, U, distinct_by_row, lists, mix, ngrams, pieces, rows_of, text_buffer, tokens
 
 FEATURES = 1 << 20
-FIT_ROWS = 10_000
+FIT_ROWS = 20_000
 GRADES = 3
-SIGNIFICANT = 5.0
+SIGNIFICANT = 5.5
+PRECISION = 0.7
 
 
 @dataclass
@@ -42,17 +45,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thetas[None], -40, 40)))
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, row) of every word and every word's beginning, and the least trigram hash of each row."""
     raw, off = text_buffer(column)
-    t, _, _, index = tokens(raw, off)
-    return t & U(FEATURES - 1), rows_of(index), index
+    t, s, e, index = tokens(raw, off)
+    row = rows_of(index)
+    long = np.flatnonzero(e - s >= 6)
+    start = np.zeros(len(long), U)
+    for k in range(4):
+        start = start * U(257) + FOLDED[raw[s[long] + k]]
+    g, _, g_row = ngrams(t, index, 3)
+    least = np.full(len(column), 2**64 - 1, U)
+    np.minimum.at(least, g_row, g)
+    return np.concatenate([t, mix(start + U(1 << 50))]) & U(FEATURES - 1), np.concatenate([row, row[long]]), least
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text"):
-        f, row, _ = _words(b.column("text"))
+        f, row, least = features(b.column("text"))
         f, row = distinct_by_row(f, row)
-        yield pa.record_batch([b.column("label"), lists(f.astype(np.int32), np.bincount(row, minlength=b.num_rows), pa.int32())], ["label", "words"])
+        yield pa.record_batch([b.column("label"), pa.array(least.view(np.int64)), lists(f.astype(np.int32), np.bincount(row, minlength=b.num_rows), pa.int32())], ["label", "copy", "words"])
+
+
+def root_ratio(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """Signed root of twice the log likelihood ratio of each feature's split against the overall share of toxic texts."""
+    n = np.maximum(bad + good, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = np.where(bad > 0, bad * np.log(bad / (n * share)), 0) + np.where(good > 0, good * np.log(good / (n * (1 - share))), 0)
+    return np.sign(bad - n * share) * np.sqrt(2 * np.maximum(g, 0))
 
 
 def ordinal_fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, width: int, rounds: int = 400, l2: float = 1e-3, rate: float = 0.1) -> Model:
@@ -87,7 +107,10 @@ def ordinal_fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, width:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = label_sample(labels, "toxic", fit_rows).select(F.col("doc_id").alias("_id"), "label")
-    table = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("label", "text").mapInArrow(_emit, "label int, words array<int>").toArrow()
+    table = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("label", "text").mapInArrow(_emit, "label int, copy long, words array<int>").toArrow()
+    if table.num_rows:
+        pairs = np.stack([table["copy"].to_numpy(), table["label"].to_numpy().astype(np.int64)], 1)
+        table = table.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
     label = np.maximum(table["label"].to_numpy(), 0) if table.num_rows else np.zeros(0, np.int64)
     if not len(label) or not (label > 0).any() or not (label == 0).any():
         return Model(np.zeros(FEATURES, np.float32), np.full(GRADES, 40.0))
@@ -97,12 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     toxic = label > 0
     bad = np.bincount(f[toxic[row]], minlength=FEATURES)
     good = np.bincount(f[~toxic[row]], minlength=FEATURES)
-    p, q = (bad + 0.5) / (toxic.sum() + 1), (good + 0.5) / ((~toxic).sum() + 1)
-    z = (np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    marks = (z > SIGNIFICANT) & (bad >= 3)
-    if not marks.any():
-        marks = (z > 0.5 * SIGNIFICANT) & (bad >= 2)
-    used = np.flatnonzero(marks | ((z < -SIGNIFICANT) & (good >= 3)))
+    strength = root_ratio(bad, good, toxic.mean())
+    marks = (strength > SIGNIFICANT) & (bad >= 4) & (bad >= PRECISION * (bad + good))
+    if not marks.any():  # few labels
+        marks = (strength > SIGNIFICANT / 3) & (bad >= 1)
+    used = np.flatnonzero(marks)
     grade = label.astype(np.int64)
     if label.max() <= 1:
         count = np.bincount(row[marks[f]], minlength=len(label))
@@ -126,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            f, row, _ = _words(b.column("text"))
+            f, row, _ = features(b.column("text"))
             f = f.astype(np.int64)
             hit = model.value.weights[f] != 0
             h, r = distinct_by_row(f[hit], row[hit])
