@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, ngram_join, packing, pii, quality, toxicity, urls
+from . import fingerprint, mixing, neighbours, ngram_join, packing, pii, quality, suffix, toxicity, urls
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -42,9 +46,13 @@ def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_scaled_sketch": fingerprint.ORACLE, "op8_source_mixing": mixing.ORACLE}
+    return {"op1_scaled_sketch": fingerprint.ORACLE, "op7_suffix_dedup": suffix.ORACLE, "op8_source_mixing": mixing.ORACLE}
