@@ -33,7 +33,7 @@ from .tokens import STEP, U, ids, mix, pieces, rows_of, text_buffer, tokens
 
 WORDS = 50
 GRAM = 4
-CHUNK = 400_000
+CHUNK = 200_000
 _INVERSE = pow(STEP, -1, 1 << 64)
 _cache: dict[str, np.ndarray] = {}
 
@@ -211,48 +211,77 @@ def corpus_order(words_of: list[np.ndarray], words: int) -> tuple[np.ndarray, np
     return alpha * (len(parse) + 2) + follow[mine], text, first
 
 
+def _runs(value: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of equal positive values within one part."""
+    if not len(value):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    turn = np.flatnonzero((np.diff(value) != 0) | (np.diff(part) != 0)) + 1
+    a, z = np.concatenate([[0], turn]), np.concatenate([turn, [len(value)]])
+    return a[value[a] > 0], z[value[a] > 0]
+
+
 def _classes(words: int):
-    def solve(phrase: list, doc: list, start: list, count: list, body: list) -> pa.RecordBatch:
-        parts = [np.frombuffer(x, "<u8").astype(U) for x in body]
+    """A stretch that many documents have is held and ordered once; its documents are a list of (part, doc, start)."""
+
+    def solve(bodies: list[bytes], of: list, doc: list, start: list) -> pa.RecordBatch:
+        parts = [np.frombuffer(x, "<u8").astype(U) for x in bodies]
         key, text, first = corpus_order(parts, words)
-        count_, doc_, start_ = np.array(count), np.array(doc), np.array(start)
-        stretch = np.repeat(np.arange(len(parts)), count_)
-        inner = np.arange(len(stretch)) - np.repeat(np.cumsum(count_) - count_, count_)
-        pos = first[stretch] + inner
-        order = np.lexsort((start_[stretch] + inner, doc_[stretch], key[pos]))
+        of_, doc_, start_ = np.array(of), np.array(doc), np.array(start)
+        by_part = np.lexsort((start_, doc_, of_))
+        of_, doc_, start_ = of_[by_part], doc_[by_part], start_[by_part]
+        head = np.searchsorted(of_, np.arange(len(parts)))
+        least, most, least_at = doc_[head], np.maximum.reduceat(doc_, head), start_[head]
+        count = np.diff(first) - words + 1
+        part = np.repeat(np.arange(len(parts)), count)
+        inner = np.arange(len(part)) - np.repeat(np.cumsum(count) - count, count)
+        pos = first[part] + inner
+        order = np.argsort(key[pos], kind="stable")
         window = Ranges(text)(pos, pos + words)[order]
         # corpus order puts suffixes that agree for ``words`` words side by side
         new = np.ones(len(order), bool)
         new[1:] = window[1:] != window[:-1]
         cls = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
-        d, p = doc_[stretch][order], (start_[stretch] + inner)[order]
-        lo, hi = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads)
+        d, p = least[part][order], (least_at[part] + inner)[order]
+        lo, hi = np.minimum.reduceat(d, heads), np.maximum.reduceat(most[part][order], heads)
         at_lo = np.where(d == lo[cls], p, np.iinfo(np.int64).max)
         first_at = np.minimum.reduceat(at_lo, heads)
-        flag = np.zeros(len(order), np.int8)
         several = (lo != hi)[cls]
+        flag = np.zeros(len(order), np.int8)
         flag[order] = np.where(several, np.where((d == lo[cls]) & (p == first_at[cls]), 1, 2), 0)
-        turn = np.flatnonzero((np.diff(flag) != 0) | (np.diff(stretch) != 0)) + 1
-        a, z = np.concatenate([[0], turn]), np.concatenate([turn, [len(flag)]])
-        ok = flag[a] > 0
-        a, z = a[ok], z[ok]
-        begin = start_[stretch[a]] + inner[a]
-        return pa.record_batch([pa.array(doc_[stretch[a]]), pa.array(begin.astype(np.int64)), pa.array((begin + (z - a) - 1 + words).astype(np.int64)), pa.array(flag[a] == 2)], ["doc_id", "first_word", "end_word", "is_copy"])
+        out: list[tuple] = []
+        # the first occurrence of a window is in the first instance of its part, so all other instances are copies
+        a, z = _runs(flag, part)
+        begin = least_at[part[a]] + inner[a]
+        out.append((least[part[a]], begin, begin + (z - a) - 1 + words, flag[a] == 2))
+        a, z = _runs((flag > 0).astype(np.int8), part)
+        instances = np.diff(np.append(head, len(of_))) - 1
+        times = instances[part[a]]
+        run = np.repeat(np.arange(len(a)), times)
+        which = head[part[a]][run] + 1 + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+        begin = start_[which] + inner[a][run]
+        out.append((doc_[which], begin, begin + (z - a)[run] - 1 + words, np.ones(len(run), bool)))
+        d, b, e, c = (np.concatenate(x) for x in zip(*out))
+        return pa.record_batch([pa.array(d.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(c)], ["doc_id", "first_word", "end_word", "is_copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
-        size = 0
+        known: dict[bytes, int] = {}
+        held: list[list] = [[], [], []]
+        size, last = 0, None
         for b in batches:
-            for r in zip(*(b.column(n).to_pylist() for n in ("phrase", "doc_id", "start", "windows", "body"))):
-                if size > CHUNK and r[0] != held[0][-1]:  # the stretches of a phrase stay together
-                    yield solve(*held)
-                    held, size = [[], [], [], [], []], 0
-                for c, x in zip(held, r):
+            for phrase, doc, start, body in zip(*(b.column(n).to_pylist() for n in ("phrase", "doc_id", "start", "body"))):
+                if size > CHUNK and phrase != last:  # the stretches of a phrase stay together
+                    yield solve(list(known), *held)
+                    known, held, size = {}, [[], [], []], 0
+                last = phrase
+                if body not in known:
+                    known[body] = len(known)
+                    size += len(body) // 8
+                for c, x in zip(held, (known[body], doc, start)):
                     c.append(x)
-                size += len(r[4]) // 8
-        if held[0]:
-            yield solve(*held)
+                size += 1
+        if known:
+            yield solve(list(known), *held)
 
     return run
 
