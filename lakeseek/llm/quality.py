@@ -80,7 +80,7 @@ def with_key(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             bucket, row = features(b.column("text"))
-            value = np.bincount(row, weights=shared.value[bucket], minlength=b.num_rows)
+            value = np.bincount(row, weights=shared.value[bucket], minlength=b.num_rows).astype(float)  # of no features, bincount makes integers
             noise = -np.log(-np.log(uniform(ids(b), seed)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value), pa.array(value + noise)], [*b.schema.names, "_log_ratio", "_key"])
 
