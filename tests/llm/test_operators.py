@@ -141,6 +141,33 @@ def test_urls_tell_hosts_apart(spark):
     assert (got.keep == (got.page_id % 3 != 0)).mean() > 0.97
 
 
+@pytest.mark.parametrize("calibration_rows", [20_000, 40])
+def test_urls_brute_force(spark, calibration_rows):
+    r = random.Random(12)
+    rows = [(k, f"http://{'casino' if k % 3 == 0 else 'news'}{r.randrange(10**6)}.com/{r.randrange(36**9):x}") for k in range(1500)]
+    df = spark.createDataFrame([*rows, rows[1], (1501, None), (1502, "")], "page_id long, url string")
+    got = {x.page_id: x.score for x in urls.filter_urls(df, calibration_rows=calibration_rows).collect()}
+    place = df.where("url <> ''").select("url", (F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0).alias("held"), F.xxhash64(F.lit(5), "url").alias("h")).collect()
+    sample = {u for u, _ in sorted({(x.url, x.h) for x in place if x.held}, key=lambda x: x[1])[:calibration_rows]}
+    pairs, ctx = [{}, {}], [{}, {}]
+    at = lambda u: [("\0" * 5 + u + "\1")[i : i + 6] for i in range(len(u) + 1)]
+    for _, u in [*rows, rows[1]]:
+        for g in at(u) if u not in sample else []:
+            for o in range(6):
+                c = int("casino" not in u)
+                pairs[c][g[5 - o :]] = pairs[c].get(g[5 - o :], 0) + 1
+                ctx[c][o, g[5 - o : 5]] = ctx[c].get((o, g[5 - o : 5]), 0) + 1
+    for k, u in rows[::50]:
+        ratio = []
+        for g in at(u):
+            p = [1 / 257, 1 / 257]
+            for o in range(6):
+                p = [(pairs[c].get(g[5 - o :], 0) + 1.5 * p[c]) / (ctx[c].get((o, g[5 - o : 5]), 0) + 1.5) for c in (0, 1)]
+            ratio.append(np.log(max(p[1], 1e-12)) - np.log(max(p[0], 1e-12)))
+        assert abs(got[k] - np.mean(ratio)) < 1e-9
+    assert len(got) == 1502 and got[1501] == got[1502] == 0
+
+
 def test_neighbours_recall_and_odd_rows(spark):
     v = np.random.default_rng(11).standard_normal((1500, 32))
     v[700:720] = v[0] + 0.01 * v[700:720]
