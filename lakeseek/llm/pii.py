@@ -1,12 +1,14 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
-Mentions are the tokens with a digit or an at sign, neighbouring number groups taken together. A mention that a strict validator
-passes (a card number with a right check digit, an address with a known top-level domain, ...) is a seed; plain short numbers
-and versions are counter-examples; all others are unknown. Each mention carries lexical patterns: its shape (letter, digit and
-mixed runs with the lengths of long ones) and its shape after the word or key to its left. Spark scores the graph of patterns and
-instances in rounds: a pattern's confidence is the share of confirmed instances among those decided, with a prior against few;
-patterns above ``MIN_CONFIDENCE`` with ``MIN_SUPPORT`` confirmed instances confirm their unknown instances, which count in the
-next round. So identifiers are found that no validator knows: a card number with a wrong check digit, a secret of another key.
+Mentions are the tokens with a digit or an at sign, neighbouring number groups taken together, and whatever stands after a secret's
+key. A mention that a strict validator passes (a card number with a right check digit, an address with a known top-level domain, ...)
+is a seed; plain short numbers, versions and dates are counter-examples; all others are unknown. Each mention carries lexical
+patterns: its shape (letter, digit and mixed runs with the lengths of long ones), its shape after the word or key to its left, that
+word alone and the word to its right alone. Spark scores the graph of patterns and instances in rounds until nothing new is accepted:
+a pattern's confidence is the share of confirmed instances among those decided (of a word alone, which holds any form: among all),
+with a prior against few; patterns above ``MIN_CONFIDENCE`` with ``MIN_SUPPORT`` confirmed instances confirm their unknown
+instances, which count in the next round. So identifiers are found that no validator knows: a card number with a wrong check digit,
+a secret of another key, a number of a new form after a learnt word.
 
 Defined cases: a null or empty text has no mentions; a null id gives mentions of id null; every mention of a repeated row is
 listed; a table without seeds gives no patterns and an empty result; other columns pass through ``redact``.
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +31,13 @@ from .tokens import pieces, text_buffer
 
 MIN_CONFIDENCE = 0.8
 MIN_SUPPORT = 3
-ROUNDS = 3
 _ASKED = np.zeros(256, bool)
 _ASKED[48:58] = True
 _ASKED[64] = True
 _NUMBER = r"[+(]{0,2}\d{1,6}(?:[)-]+\d{1,6})*\)?"
-MENTION = re.compile(rf"(?<![\w@.+-]){_NUMBER}(?: {_NUMBER}(?![\w@]|[.-]\d))+|[^\s=\"'<>|,;:(){{}}\[\]]*[\d@][^\s=\"'<>|,;:(){{}}\[\]]*")
+_KEYED = r"(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?"
+_IBAN = r"\b[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w)"
+MENTION = re.compile(rf"(?i:{_KEYED})(?P<keyed>[^\s\"'<>]+)|{_IBAN}|(?<![\w@.+-]){_NUMBER}(?: {_NUMBER}(?![\w@]|[.-]\d))+|[^\s=\"'<>|,;:(){{}}\[\]]*[\d@][^\s=\"'<>|,;:(){{}}\[\]]*")
 _EDGE = ".!?*#&$%-_/\\"
 _RUN = re.compile(r"[^\W_]+")
 _LEFT = re.compile(r"([^\W\d_]+)(\s*[=:]\s*[\"']?|\s+[\"'(]?)$")
@@ -42,7 +46,9 @@ _EMAIL = re.compile(rf"[\w.+-]+@(?:[\w-]+\.)+(?:{_TLD})", re.ASCII)
 _PHONE = re.compile(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}")
 _SECRET = re.compile(r"(?:password|passwd|secret|token|api_?key)\s*[=:]\s*$", re.IGNORECASE)
-_PLAIN = re.compile(r"v?\d{1,4}(?:\.\d{1,3}){0,2}|\d{1,2}(?:st|nd|rd|th)|\d{1,4}[-/]\d{1,2}[-/]\d{1,4}")
+_RIGHT = re.compile(r"[\"')\]]*\s+([^\W\d_]+)")
+_PLAIN = re.compile(r"v?\d{1,4}(?:\.\d{1,3}){0,2}|\d{1,2}(?:st|nd|rd|th)")
+_DATE = re.compile(r"(\d{1,4})([-/])(\d{1,2})\2(\d{1,4})")
 
 
 def _luhn(digits: str) -> bool:
@@ -50,6 +56,16 @@ def _luhn(digits: str) -> bool:
     return sum(d[::2]) % 10 + sum(sum(divmod(2 * x, 10)) for x in d[1::2]) % 10 in (0, 10)
 
 
+def _date(value: str) -> bool:
+    """Year first, or day and month in either order before a year of two or four digits."""
+    m = _DATE.fullmatch(value)
+    if not m:
+        return False
+    a, b, c = m[1], m[3], m[4]
+    day = lambda d, month: 1 <= int(d) <= 31 and 1 <= int(month) <= 12
+    return (len(a) in (2, 4) and len(c) < 3 and day(c, b)) or (len(a) < 3 and len(c) in (2, 4) and (day(a, b) or day(b, a)))
+
+
 def seed_kind(value: str, left: str) -> str | None:
     """The kind of a certain identifier, '' for a counter-example, None if unknown. left: the text before it."""
     if _EMAIL.fullmatch(value):
@@ -66,7 +82,7 @@ def seed_kind(value: str, left: str) -> str | None:
         return "IP"
     if len(value) >= 8 and _SECRET.search(left.rstrip("\"' ")):
         return "SECRET"
-    return "" if _PLAIN.fullmatch(value) else None
+    return "" if _PLAIN.fullmatch(value) or _date(value) else None
 
 
 def shape(value: str) -> str:
@@ -83,58 +99,79 @@ def shape(value: str) -> str:
     return "w@w" if at and re.fullmatch(r"[w9{}.+_-]+", name) and re.fullmatch(r"[w9{}.-]+\.[w9{}.-]+", host) else out
 
 
-def mentions(text: str) -> Iterator[tuple[int, str, str, str | None]]:
-    """(first character, value, left word with its sign, seed kind)."""
+def mentions(text: str) -> Iterator[tuple[int, str, str, str, str | None]]:
+    """(first character, value, left word with its sign, right word, seed kind)."""
     for m in MENTION.finditer(text):
-        value = m[0].strip(_EDGE)
-        if value.endswith(")") and "(" not in value:
+        keyed = m["keyed"] is not None
+        start, whole = (m.start("keyed"), m["keyed"]) if keyed else (m.start(), m[0])
+        value = whole.rstrip(".,;") if keyed else whole.strip(_EDGE)
+        if not keyed and value.endswith(")") and "(" not in value:
             value = value.rstrip(").")
-        if not value or not any(c.isdecimal() or c == "@" for c in value):
+        if not value or not (keyed or any(c.isdecimal() or c == "@" for c in value)):
             continue
-        at = m.start() + m[0].index(value)
+        at = start + whole.index(value)
         before = text[max(0, at - 40) : at]
         near = _LEFT.search(before)
         word = near[1].lower() + ("=" if near and re.search("[=:]", near[2]) else "") if near else ""
-        yield at, value, word, seed_kind(value, before)
+        after = _RIGHT.match(text, at + len(value), at + len(value) + 40)
+        yield at, value, word, after[1].lower() if after else "", seed_kind(value, before)
+
+
+def patterns(value: str, left: str, right: str) -> tuple[str, str, str | None, str | None]:
+    """Shape, shape after the left word, left word alone, right word alone; a star stands for any value, and no value begins or ends with one."""
+    s = shape(value)
+    return s, f"{left} {s}", f"{left} *" if left else None, f"* {right}" if right else None
+
+
+PATTERNS = ("shape", "cued", "left", "right")
 
 
 def _rows_with_marks(column: pa.Array) -> np.ndarray:
     raw, off = text_buffer(column)
     at = np.flatnonzero(_ASKED[raw])
-    return np.unique(np.searchsorted(off, at, side="right") - 1)
+    marked = np.searchsorted(off, at, side="right") - 1
+    keyed = np.flatnonzero(pc.fill_null(pc.match_substring_regex(column, _KEYED, ignore_case=True), False).to_numpy(zero_copy_only=False))
+    return np.unique(np.concatenate([marked, keyed]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+    kind = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 6]
     for b in pieces(batches, "text"):
         out: list[list] = [[] for _ in kind]
         text, doc = b.column("text"), b.column("doc_id")
         for i in _rows_with_marks(text):
-            for at, value, word, seed in mentions(text[i].as_py()):
-                s = shape(value)
-                for c, x in zip(out, (doc[i].as_py(), at, len(value), value, s, f"{word} {s}", seed)):
+            for at, value, left, right, seed in mentions(text[i].as_py()):
+                for c, x in zip(out, (doc[i].as_py(), at, len(value), value, *patterns(value, left, right), seed)):
                     c.append(x)
         if out[0]:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kind)], ["doc_id", "start", "length", "value", "shape", "cued", "seed"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kind)], ["doc_id", "start", "length", "value", *PATTERNS, "seed"])
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_extract, "doc_id long, start int, length int, value string, shape string, cued string, seed string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_extract, "doc_id long, start int, length int, value string, shape string, cued string, left string, right string, seed string")
 
 
-def learn(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
+def learn(found: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """(pattern, kind, confidence) of the accepted patterns; those a shape of the same kind already covers are left out."""
     # an instance is a value with its patterns: the edges of the graph, each once
-    edges = cut(found.groupBy("value", "shape", "cued").agg(F.max("seed").alias("seed")).select("value", F.explode(F.array("shape", "cued")).alias("pattern"), "seed").groupBy("value", "pattern").agg(F.max("seed").alias("seed")))
+    edges = cut(found.groupBy("value", *PATTERNS).agg(F.max("seed").alias("seed")).select("value", F.explode(F.array(*PATTERNS)).alias("pattern"), "seed").where("pattern is not null").groupBy("value", "pattern").agg(F.max("seed").alias("seed")))
     scored = edges.withColumn("kind", F.nullif("seed", F.lit(""))).withColumn("score", F.when(F.col("seed") == "", 0.0).when(F.col("seed").isNotNull(), 1.0))
-    for k in range(rounds):
-        votes = scored.where("score is not null").groupBy("pattern", "kind").agg(F.sum("score").alias("yes"), F.sum(1 - F.col("score")).alias("no"))
-        patterns = votes.groupBy("pattern").agg(F.max_by("kind", F.struct("yes", "kind")).alias("kind"), F.max("yes").alias("yes"), (F.sum("yes") + F.sum("no")).alias("all"))
-        accepted = cut(patterns.withColumn("confidence", F.col("yes") / (F.col("all") + 0.5)).where((F.col("confidence") >= min_confidence) & (F.col("yes") >= min_support) & F.col("kind").isNotNull()).select("pattern", "kind", "confidence"))
-        if k + 1 < rounds:
-            reach = edges.where("seed is null").join(broadcast_if(accepted), "pattern").groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("_kind"), F.max("confidence").alias("_score"))
-            scored = edges.join(reach, "value", "left").select("value", "pattern", "seed", F.coalesce(F.nullif("seed", F.lit("")), "_kind").alias("kind"), F.when(F.col("seed") == "", 0.0).when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("_score")).alias("score"))
-    shapes = accepted.where("instr(pattern, ' ') = 0 or substring(pattern, 1, 1) = '+'").select(F.col("pattern").alias("_shape"), F.col("kind").alias("_kind"))
+    alone = F.expr("startswith(pattern, '* ') or endswith(pattern, ' *')")
+    accepted = None
+    while True:  # what is accepted stays, so there is an end
+        votes = scored.withColumn("score", F.when(alone, F.coalesce("score", F.lit(0.0))).otherwise(F.col("score"))).where("score is not null").groupBy("pattern", "kind").agg(F.sum("score").alias("yes"), F.sum(1 - F.col("score")).alias("no"))
+        best = votes.groupBy("pattern").agg(F.max_by("kind", F.struct("yes", "kind")).alias("kind"), F.max("yes").alias("yes"), (F.sum("yes") + F.sum("no")).alias("all"))
+        fresh = best.withColumn("confidence", F.col("yes") / (F.col("all") + 0.5)).where((F.col("confidence") >= min_confidence) & (F.col("yes") >= min_support) & F.col("kind").isNotNull()).select("pattern", "kind", "confidence")
+        if accepted is None:
+            accepted = cut(fresh)
+        else:
+            fresh = cut(fresh.join(broadcast_if(accepted), "pattern", "left_anti"))
+            if fresh.isEmpty():
+                break
+            accepted = cut(accepted.unionAll(fresh).coalesce(1))
+        reach = edges.where("seed is null").join(broadcast_if(accepted), "pattern").groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("_kind"), F.max("confidence").alias("_score"))
+        scored = edges.join(reach, "value", "left").select("value", "pattern", "seed", F.coalesce(F.nullif("seed", F.lit("")), "_kind").alias("kind"), F.when(F.col("seed") == "", 0.0).when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("_score")).alias("score"))
+    shapes = accepted.where(~alone & F.expr("instr(pattern, ' ') = 0 or substring(pattern, 1, 1) = '+'")).select(F.col("pattern").alias("_shape"), F.col("kind").alias("_kind"))
     covered = F.expr("kind = _kind and endswith(pattern, concat(' ', _shape))")
     return accepted.join(broadcast_if(shapes), covered, "left_anti")
 
@@ -143,25 +180,25 @@ def find(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, start, length, kind, value, confidence) of every identifier; seeds have confidence 1."""
     found = cut(extract(docs))
     accepted = broadcast_if(cut(learn(found, **options)))
-    by_shape = accepted.select(F.col("pattern").alias("shape"), F.col("kind").alias("_k1"), F.col("confidence").alias("_c1"))
-    by_cue = accepted.select(F.col("pattern").alias("cued"), F.col("kind").alias("_k2"), F.col("confidence").alias("_c2"))
+    joined = found.where("seed is null or seed <> ''")
+    for p in PATTERNS:
+        joined = joined.join(accepted.select(F.col("pattern").alias(p), F.col("kind").alias(f"_k_{p}"), F.col("confidence").alias(f"_c_{p}")), p, "left")
     seed = F.nullif("seed", F.lit(""))
-    joined = found.where("seed is null or seed <> ''").join(by_shape, "shape", "left").join(by_cue, "cued", "left")
-    return joined.select("doc_id", "start", "length", F.coalesce(seed, "_k1", "_k2").alias("kind"), "value", F.when(seed.isNotNull(), 1.0).otherwise(F.coalesce("_c1", "_c2")).alias("confidence")).where("kind is not null")
+    kind, confidence = (F.coalesce(*[f"_{x}_{p}" for p in PATTERNS]) for x in "kc")
+    return joined.select("doc_id", "start", "length", F.coalesce(seed, kind).alias("kind"), "value", F.when(seed.isNotNull(), 1.0).otherwise(confidence).alias("confidence")).where("kind is not null")
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every identifier replaced by its kind in angle brackets; ``n_chars``, where it is, follows the text."""
     found = cut(extract(docs))
-    patterns = {r.pattern: r.kind for r in learn(found, **options).collect()}  # each has MIN_SUPPORT confirmed instances: a small vocabulary of shapes
-    shared = broadcast_value(docs.sparkSession, patterns)
+    known = {r.pattern: r.kind for r in learn(found, **options).collect()}  # each has MIN_SUPPORT confirmed instances: a small vocabulary of shapes and words
+    shared = broadcast_value(docs.sparkSession, known)
     names = docs.columns
 
     def clean(text: str) -> str:
         out, last = [], 0
-        for at, value, word, seed in mentions(text):
-            s = shape(value)
-            kind = seed or (None if seed == "" else shared.value.get(s) or shared.value.get(f"{word} {s}"))
+        for at, value, left, right, seed in mentions(text):
+            kind = seed or (None if seed == "" else next((k for p in patterns(value, left, right) if (k := shared.value.get(p))), None))
             if kind:
                 out += [text[last:at], f"<{kind}>"]
                 last = at + len(value)

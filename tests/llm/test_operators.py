@@ -135,6 +135,17 @@ def test_pii_learns_from_context(spark):
     assert "example.com" not in pii.redact(df).where("doc_id = 0").first().text
 
 
+def test_pii_new_forms_after_learnt_words(spark):
+    rows = [(k, f"phone +1 (301) 555-{1000 + 7 * k} or write") for k in range(20)]
+    new = ["phone 555 123 4567 or", "phone +44 20 7946 0958", "phone DE89 3704 0044 0532 0130 00 today", "phone 123-45-6789", "password=correcthorsebattery", "on 2024-05-16 or 7 then"]
+    df = spark.createDataFrame([*rows, *[(100 + k, t) for k, t in enumerate(new)]], "doc_id long, text string")
+    got = {r.doc_id: r.value for r in pii.find(df).where("doc_id >= 100").collect()}
+    assert got == {100: "555 123 4567", 101: "+44 20 7946 0958", 102: "DE89 3704 0044 0532 0130 00", 103: "123-45-6789", 104: "correcthorsebattery"}
+    text = {r.doc_id: r.text for r in pii.redact(df).where("doc_id >= 100").collect()}
+    assert text == {100: "phone <PHONE> or", 101: "phone <PHONE>", 102: "phone <PHONE> today", 103: "phone <PHONE>", 104: "password=<SECRET>", 105: new[5]}
+    assert pii.seed_kind("123-45-6789", "") is None and all(pii.seed_kind(x, "") == "" for x in ("2024-05-16", "5/16/2024", "16-05-24"))
+
+
 def test_urls_tell_hosts_apart(spark):
     rows = [(k, f"http://{'casino' if k % 3 == 0 else 'news'}.site.com/p/{k}") for k in range(600)]
     got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).toPandas()
