@@ -4,11 +4,12 @@ Texts are cut into pieces of at most ``CAPACITY`` tokens; full pieces fill a bin
 ``QUANTUM`` tokens, form a histogram. A linear program over packing patterns covers it with the fewest bins: a revised simplex
 holds the basis, and a knapsack dynamic program over the duals prices the next pattern until none improves. Patterns are rounded
 down, the few pieces left of each length are packed by first-fit decreasing over the classes, and every pattern takes the next
-ranks of its lengths. Ranks come from counts by length and hash slice, so nothing is sorted as a whole. The histogram and the
+ranks of its lengths. Ranks come from counts by length and range of the hash, so nothing is sorted as a whole. The histogram and the
 program have a fixed size (``CAPACITY / QUANTUM`` lengths), whatever the input.
 
 Defined cases: a null, empty or blank text has no tokens and gives no piece; a null id is packed with id null; repeated rows are
-pieces of their own, told apart by an arbitrary order; equal lengths are taken in order of id; a long text gives several pieces;
+pieces of their own, told apart by an arbitrary order; equal lengths are taken in order of the id's hash,
+then id, at every input size; a long text gives several pieces;
 an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -113,7 +114,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM) -> D
     pieces = pieces.withColumn("size", F.ceil(F.col("n_tokens") / quantum).cast("int"))
     rows = slim.count()
     slices = max(1, -(-rows // SLICE_ROWS))
-    pieces = cut(pieces.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")).drop("h"))
+    pieces = cut(pieces.withColumn("slice", F.least(F.lit(slices - 1), F.floor(F.col("h") / 2.0**48 * slices)).cast("int")))  # ranges of h, which has 48 bits, so the order is the same with any number
     held = cut(pieces.groupBy("size", "slice").agg(F.count("*").alias("n")))
     counts = {r["size"]: r["n"] for r in held.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     ranges, base = [], 0
@@ -128,7 +129,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM) -> D
     fixed = docs.sparkSession.createDataFrame(ranges, "size int, lo long, hi long, per long, base long, at long")
     offset = held.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     # a length of one slice is at most SLICE_ROWS pieces or so: the ranks need no sort of a whole length
-    ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("size", "slice").orderBy("doc_id", "piece"))).join(broadcast_if(offset), ["size", "slice"])
+    ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("size", "slice").orderBy("h", "doc_id", "piece"))).join(broadcast_if(offset), ["size", "slice"])
     ranked = ranked.withColumn("rank", F.col("r") - 1 + F.col("before"))
     placed = ranked.join(F.broadcast(fixed), "size").where("rank >= lo and rank < hi")  # fixed has at most (lengths + patterns) * lengths rows
     return placed.select("doc_id", "piece", "first_token", "n_tokens", (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("bin_id"), (F.col("at") + (F.col("rank") - F.col("lo")) % F.col("per")).cast("int").alias("slot"))

@@ -99,6 +99,13 @@ def test_packing_is_a_packing(spark):
     assert got.bin_id.nunique() <= np.ceil(got.n_tokens.sum() / packing.CAPACITY) * 1.15
 
 
+def test_packing_order_is_the_same_at_every_size(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "a " * (20 + k % 3), "s") for k in range(200)], "doc_id long, text string, source string")
+    one = {tuple(r) for r in packing.pack(df).collect()}
+    monkeypatch.setattr(packing, "SLICE_ROWS", 30)
+    assert {tuple(r) for r in packing.pack(df).collect()} == one
+
+
 def test_toxicity_and_quality_held_out(spark):
     r = random.Random(7)
     good, bad = [f"calm{k}" for k in range(300)], ["slurone", "slurtwo", "slurthree"]
