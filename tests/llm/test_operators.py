@@ -186,19 +186,47 @@ def test_urls_brute_force(spark, calibration_rows):
     assert len(got) == 1502 and got[1501] == got[1502] == 0
 
 
+def _recall(got, v, queries):
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = n[queries] @ n.T
+    s[np.arange(len(queries)), queries] = -2
+    truth = {(int(queries[i]), int(j)) for i in range(len(queries)) for j in np.argsort(-s[i])[:10]}
+    exact = dict(zip(zip(got.vec_id, got.neighbour_id), got.similarity))
+    assert all(abs(x - float(n[i] @ n[j])) < 2e-6 for (i, j), x in exact.items())
+    return len(truth & set(exact)) / len(truth)
+
+
 def test_neighbours_recall_and_odd_rows(spark):
     v = np.random.default_rng(11).standard_normal((1500, 32))
     v[700:720] = v[0] + 0.01 * v[700:720]
-    rows = [(int(k), [float(x) for x in e]) for k, e in enumerate(v)] + [(None, [1.0] * 32), (9001, None), (9002, [0.0] * 32), (9003, [float("nan")] * 32), (9004, [1.0])]
-    got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=256).toPandas()
-    n = v / np.linalg.norm(v, axis=1, keepdims=True)
-    s = n @ n.T
-    np.fill_diagonal(s, -2)
-    truth = {(i, int(j)) for i in range(1500) for j in np.argsort(-s[i])[:10]}
-    assert len(truth & set(zip(got.vec_id, got.neighbour_id))) >= 0.9 * len(truth) and got.vec_id.max() < 9000
+    v[900:960] = v[1]  # sixty copies: ties in order of id
+    v[5] *= 1e300
+    rows = [(int(k), [float(x) for x in e], "x", 1.0) for k, e in enumerate(v)] + [(None, [1.0] * 32, "", 0.0), (9001, None, "", 0.0), (9002, [0.0] * 32, "", 0.0), (9003, [float("nan")] * 32, "", 0.0), (9004, [1.0], "", 0.0)]
+    df = spark.createDataFrame([*rows, rows[3]], "vec_id long, embedding array<double>, id string, similarity double")
+    got = neighbours.neighbours(df, block=256, every=1).toPandas()
+    v[5] /= 1e300
+    copies = got[got.vec_id == 930].sort_values("rank")
+    assert list(copies.neighbour_id) == [1, *range(900, 909)] and (copies.similarity == 1).all()
+    others = got[~got.vec_id.isin([1, *range(900, 960)])]
+    assert _recall(others, v, np.array(sorted(others.vec_id.unique()))) >= 0.9
+    assert got.vec_id.max() < 1500 and got.groupby("vec_id").size().eq(10).all()
+    assert set(neighbours.neighbours(df, block=256).toPandas().vec_id) == set(range(0, 1500, 20))
     assert neighbours.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_compare_less_than_all(spark):
+    r, shares = np.random.default_rng(3), []
+    for n in (2000, 8000, 32_000):  # growth well below the square
+        c = r.standard_normal((n // 40, 64))
+        v = c[r.integers(0, len(c), n)] + 0.25 * r.standard_normal((n, 64))
+        counter = spark.sparkContext.accumulator(0)
+        got = neighbours.neighbours(spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(v)], "vec_id long, embedding array<double>"), counter=counter).toPandas()
+        queries = np.arange(0, n, 20)
+        assert _recall(got, v, queries) >= 0.9
+        shares.append(counter.value / (n * len(queries)))
+    assert shares[2] < 0.2 and shares[2] < shares[1] / 2 < shares[0] / 4
+
+
 def test_pipeline_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
