@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are in the shared folder and survive the loss of any executor."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """The name, with underscores added until no column has it (names are compared without case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def broadcast_value(spark: SparkSession, value):
     """A Python broadcast; only for values whose size a parameter bounds."""
     return spark.sparkContext.broadcast(value)
@@ -71,13 +86,13 @@ def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large-star and small-star: (node, component), component = least node.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components by alternating large-star and small-star: (node, component) of every node but the least of each component, which names it.
 
     Every round is checkpointed; the rounds needed grow with the logarithm of the longest path.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
+    while True:  # until nothing changes
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("lo"))
         large = (

@@ -67,7 +67,7 @@ def test_sketch_containment(spark):
     small = " ".join(big.split()[5000:9000])
     s = fingerprint.sketch(spark.createDataFrame([(1, small), (2, big)], "doc_id long, text string"))
     got = fingerprint.containment(s.where("doc_id = 1").withColumnRenamed("doc_id", "a"), s.where("doc_id = 2").withColumnRenamed("doc_id", "b"), "a", "b").first()
-    assert got.containment == 1.0 and abs(got.shared * 32 / 4000 - 1) < 0.5
+    assert got.containment == 1.0 and abs(got.shared / fingerprint.FRACTION / 4000 - 1) < 0.15
 
 
 def _trigrams(t):
