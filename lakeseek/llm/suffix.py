@@ -9,13 +9,15 @@ length whose words occur in another document. The first occurrence of each windo
    windows whose middles have only phrases of a single document are not repeated.
 2. Around each other phrase lies the stretch of windows that have it in their middle. Those whose least phrase it is are sent to the bucket of that
    phrase, so equal windows meet, and text without repeats goes no further.
+   A phrase with more than ``HOT`` occurrences (a licence line) has no bucket: its windows are aggregated by their hashes, which combines
+   in every task before the shuffle.
 3. In a bucket, the stretches are parsed again. The suffix array of the dictionary of distinct phrases and that of the parse, both by
    prefix doubling, combine into corpus order: a suffix is ordered by the rank of the rest of its phrase, then by the rank of the
    parse that follows. Neighbours in that order that agree for ``WORDS`` words are one class; classes of several documents are repeats.
 
 Defined cases: null and empty texts have no words; texts of fewer than ``WORDS`` words have no window; rows with a null id are left
 out, as they have no identity; repeated rows of one id are one document; an empty table gives an empty result; other columns are not
-looked at; words are compared without ASCII case and punctuation.
+looked at; words are compared without ASCII case and punctuation. Words count as equal by 64 bits of hash in phrases, by 40 in windows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .tokens import STEP, U, ids, mix, pieces, rows_of, text_buffer, tokens
 WORDS = 50
 GRAM = 4
 CHUNK = 200_000
+HOT = 20_000
+BYTES = 5
 _INVERSE = pow(STEP, -1, 1 << 64)
 _cache: dict[str, np.ndarray] = {}
 
@@ -108,8 +112,22 @@ def _phrases(words: int):
     return run
 
 
-def _stretches(words: int):
-    """For each phrase that several documents have: the windows of which it is the least phrase, with their words."""
+def _pack(t: np.ndarray) -> bytes:
+    """Words as their first ``BYTES`` bytes each."""
+    return t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // BYTES, 8), np.uint8)
+    out[:, 8 - BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
+    return out.reshape(-1).view("<u8").astype(U)
+
+
+def _stretches(words: int, hot: bool):
+    """For each phrase that several documents have: the windows of which it is the least phrase, with their words.
+
+    hot: instead, those of the phrases marked as hot, (window, doc_id, start) of each.
+    """
 
     span = span_of(words)
 
@@ -122,15 +140,17 @@ def _stretches(words: int):
                 continue
             h = ranges(s, e)
             shared = b.column("phrases")
-            flat = shared.flatten().to_numpy().view(U)
+            flat, warm = (shared.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("phrase", "hot"))
+            flat = flat.view(U)
             bounds = np.concatenate([[0], np.cumsum(shared.value_lengths().to_numpy())])
             doc = ids(b)
-            short = t.astype("<u8")
             out = []
+            windows = Ranges(t & (U(2**64 - 1) << U(64 - 8 * BYTES))) if hot else None
             for r in np.unique(row):
                 lo, hi = np.searchsorted(row, (r, r + 1))
                 hs, ss, es = h[lo:hi], s[lo:hi], e[lo:hi]
-                often = np.isin(hs, flat[bounds[r] : bounds[r + 1]])
+                mine, marked = flat[bounds[r] : bounds[r + 1]], warm[bounds[r] : bounds[r + 1]].astype(bool)
+                often = np.isin(hs, mine)
                 first, count = int(index[r]), int(index[r + 1] - index[r] - words + 1)
                 if count <= 0 or not often.any():
                     continue
@@ -145,12 +165,19 @@ def _stretches(words: int):
                     better = (k < width) & ((hs[j] < best) | (choice < 0))
                     best[better], choice[better] = hs[j[better]], j[better]
                 ok = (choice >= 0) & often[np.maximum(choice, 0)]
+                ok &= np.isin(hs, mine[marked])[np.maximum(choice, 0)] == hot
+                if hot:
+                    at = np.flatnonzero(ok)
+                    out.append((windows(first + at, first + at + words).view(np.int64), np.full(len(at), doc[r]), at))
+                    continue
                 key = np.where(ok, choice, -1)
                 cuts = np.flatnonzero(np.diff(key)) + 1
                 for p, q in zip([0, *cuts], [*cuts, count]):
                     if key[p] >= 0:
-                        out.append((int(hs[key[p]].view(np.int64)), int(doc[r]), int(p), int(q - p), short[first + p : first + q - 1 + words].tobytes()))
-            if out:
+                        out.append((int(hs[key[p]].view(np.int64)), int(doc[r]), int(p), int(q - p), _pack(t[first + p : first + q - 1 + words])))
+            if out and hot:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["window", "doc_id", "start"])
+            elif out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["phrase", "doc_id", "start", "windows", "body"])
 
     return run
@@ -224,7 +251,7 @@ def _classes(words: int):
     """A stretch that many documents have is held and ordered once; its documents are a list of (part, doc, start)."""
 
     def solve(bodies: list[bytes], of: list, doc: list, start: list) -> pa.RecordBatch:
-        parts = [np.frombuffer(x, "<u8").astype(U) for x in bodies]
+        parts = [_unpack(x) for x in bodies]
         key, text, first = corpus_order(parts, words)
         of_, doc_, start_ = np.array(of), np.array(doc), np.array(start)
         by_part = np.lexsort((start_, doc_, of_))
@@ -276,7 +303,7 @@ def _classes(words: int):
                 last = phrase
                 if body not in known:
                     known[body] = len(known)
-                    size += len(body) // 8
+                    size += len(body) // BYTES
                 for c, x in zip(held, (known[body], doc, start)):
                     c.append(x)
                 size += 1
@@ -295,11 +322,15 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         raise ValueError(f"words must be at least {2 * GRAM}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     found = rows.mapInArrow(_phrases(words), "phrase long, doc_id long")
-    by = W.partitionBy("phrase")
-    shared = found.withColumn("lo", F.min("doc_id").over(by)).withColumn("hi", F.max("doc_id").over(by)).where("lo <> hi")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
-    stretches = rows.join(per_doc, "doc_id").mapInArrow(_stretches(words), "phrase long, doc_id long, start int, windows int, body binary")
+    several = cut(found.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("phrase", (F.col("n") > HOT).alias("hot")))
+    per_doc = found.join(several, "phrase").groupBy("doc_id").agg(F.collect_set(F.struct("phrase", "hot")).alias("phrases"))
+    chosen = rows.join(per_doc, "doc_id")
+    stretches = chosen.mapInArrow(_stretches(words, False), "phrase long, doc_id long, start int, windows int, body binary")
     spans = stretches.repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_classes(words), "doc_id long, first_word long, end_word long, is_copy boolean")
+    if not several.where("hot").isEmpty():
+        windows = cut(chosen.mapInArrow(_stretches(words, True), "window long, doc_id long, start long").distinct())
+        head = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id <> last")
+        spans = spans.unionByName(windows.join(head, "window").select("doc_id", F.col("start").alias("first_word"), (F.col("start") + words).alias("end_word"), (F.struct("doc_id", "start") != F.col("head")).alias("is_copy")))
     inside = W.partitionBy("doc_id", "is_copy").orderBy("first_word", "end_word")
     reach = F.max("end_word").over(inside.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce((F.col("first_word") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
