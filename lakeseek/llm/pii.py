@@ -17,7 +17,7 @@ listed; a table without seeds gives no patterns and an empty result; other colum
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if, broadcast_value, cut
+from .common import broadcast_if, broadcast_value, cut, fresh
 from .tokens import pieces, text_buffer
 
 MIN_CONFIDENCE = 0.8
 MIN_SUPPORT = 3
+#: Up to so many patterns are sent to the executors.
+KNOWN = 100_000
 _ASKED = np.zeros(256, bool)
 _ASKED[48:58] = True
 _ASKED[64] = True
-_NUMBER = r"[+(]{0,2}\d{1,6}(?:[)-]+\d{1,6})*\)?"
+_NUMBER = r"[+(]{0,2}\d{1,6}(?:[)-]{1,3}\d{1,6}){0,6}\)?"
 _KEYED = r"(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w)"
-MENTION = re.compile(rf"(?i:{_KEYED})(?P<keyed>[^\s\"'<>]+)|{_IBAN}|(?<![\w@.+-]){_NUMBER}(?: {_NUMBER}(?![\w@]|[.-]\d))+|[^\s=\"'<>|,;:(){{}}\[\]]*[\d@][^\s=\"'<>|,;:(){{}}\[\]]*")
+_SECRET = re.compile(rf"(?i:{_KEYED})(?P<value>[^\s\"'<>]+)")
+# a run is taken whole, with or without a digit, so the time needed is linear in the text
+MENTION = re.compile(rf"{_IBAN}|(?<![\w@.+-]){_NUMBER}(?: {_NUMBER}(?![\w@]|[.-]\d))+|[^\s=\"'<>|,;:(){{}}\[\]]++")
 _EDGE = ".!?*#&$%-_/\\"
 _RUN = re.compile(r"[^\W_]+")
-_LEFT = re.compile(r"([^\W\d_]+)(\s*[=:]\s*[\"']?|\s+[\"'(]?)$")
+_DIGIT = re.compile(r"\d")
 _TLD = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|biz"
 _EMAIL = re.compile(rf"[\w.+-]+@(?:[\w-]+\.)+(?:{_TLD})", re.ASCII)
 _PHONE = re.compile(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}")
-_SECRET = re.compile(r"(?:password|passwd|secret|token|api_?key)\s*[=:]\s*$", re.IGNORECASE)
 _RIGHT = re.compile(r"[\"')\]]*\s+([^\W\d_]+)")
 _PLAIN = re.compile(r"v?\d{1,4}(?:\.\d{1,3}){0,2}|\d{1,2}(?:st|nd|rd|th)")
 _DATE = re.compile(r"(\d{1,4})([-/])(\d{1,2})\2(\d{1,4})")
@@ -66,8 +69,8 @@ def _date(value: str) -> bool:
     return (len(a) in (2, 4) and len(c) < 3 and day(c, b)) or (len(a) < 3 and len(c) in (2, 4) and (day(a, b) or day(b, a)))
 
 
-def seed_kind(value: str, left: str) -> str | None:
-    """The kind of a certain identifier, '' for a counter-example, None if unknown. left: the text before it."""
+def seed_kind(value: str, keyed: bool = False) -> str | None:
+    """The kind of a certain identifier, '' for a counter-example, None if unknown. keyed: it stands after a secret's key."""
     if _EMAIL.fullmatch(value):
         return "EMAIL"
     if _PHONE.fullmatch(value):
@@ -80,7 +83,7 @@ def seed_kind(value: str, left: str) -> str | None:
     parts = value.split(".")
     if len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) < 4 and int(p) < 256 for p in parts):
         return "IP"
-    if len(value) >= 8 and _SECRET.search(left.rstrip("\"' ")):
+    if keyed and len(value) >= 8:
         return "SECRET"
     return "" if _PLAIN.fullmatch(value) or _date(value) else None
 
@@ -99,22 +102,48 @@ def shape(value: str) -> str:
     return "w@w" if at and re.fullmatch(r"[w9{}.+_-]+", name) and re.fullmatch(r"[w9{}.-]+\.[w9{}.-]+", host) else out
 
 
+def left_word(text: str, at: int) -> str:
+    """The word before a value, in lower case, with = after it if it is the value's key; however long it is."""
+    j = at - 1 if at and text[at - 1] in "\"'(" else at
+    k = j
+    while k and text[k - 1].isspace():
+        k -= 1
+    sign = k > 0 and text[k - 1] in "=:"
+    if sign:
+        k -= 1
+        while k and text[k - 1].isspace():
+            k -= 1
+    elif k == j:
+        return ""
+    end = k
+    while k and text[k - 1].isalpha():
+        k -= 1
+    return text[k:end].lower() + "=" if sign and k < end else text[k:end].lower()
+
+
+def _spans(text: str) -> Iterator[tuple[int, str, bool]]:
+    """(first character, characters, keyed) of whatever may be a mention, in order."""
+    last = 0
+    for m in _SECRET.finditer(text):
+        yield from ((x.start(), x[0], False) for x in MENTION.finditer(text, last, m.start("value")))
+        yield m.start("value"), m["value"], True
+        last = m.end()
+    yield from ((x.start(), x[0], False) for x in MENTION.finditer(text, last))
+
+
 def mentions(text: str) -> Iterator[tuple[int, str, str, str, str | None]]:
     """(first character, value, left word with its sign, right word, seed kind)."""
-    for m in MENTION.finditer(text):
-        keyed = m["keyed"] is not None
-        start, whole = (m.start("keyed"), m["keyed"]) if keyed else (m.start(), m[0])
+    for start, whole, keyed in _spans(text):
+        if not keyed and "@" not in whole and not _DIGIT.search(whole):
+            continue
         value = whole.rstrip(".,;") if keyed else whole.strip(_EDGE)
         if not keyed and value.endswith(")") and "(" not in value:
             value = value.rstrip(").")
-        if not value or not (keyed or any(c.isdecimal() or c == "@" for c in value)):
+        if not value or not (keyed or "@" in value or _DIGIT.search(value)):
             continue
         at = start + whole.index(value)
-        before = text[max(0, at - 40) : at]
-        near = _LEFT.search(before)
-        word = near[1].lower() + ("=" if near and re.search("[=:]", near[2]) else "") if near else ""
-        after = _RIGHT.match(text, at + len(value), at + len(value) + 40)
-        yield at, value, word, after[1].lower() if after else "", seed_kind(value, before)
+        after = _RIGHT.match(text, at + len(value))
+        yield at, value, left_word(text, at), after[1].lower() if after else "", seed_kind(value, keyed)
 
 
 def patterns(value: str, left: str, right: str) -> tuple[str, str, str | None, str | None]:
@@ -134,21 +163,31 @@ def _rows_with_marks(column: pa.Array) -> np.ndarray:
     return np.unique(np.concatenate([marked, keyed]))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 6]
-    for b in pieces(batches, "text"):
-        out: list[list] = [[] for _ in kind]
-        text, doc = b.column("text"), b.column("doc_id")
-        for i in _rows_with_marks(text):
-            for at, value, left, right, seed in mentions(text[i].as_py()):
-                for c, x in zip(out, (doc[i].as_py(), at, len(value), value, *patterns(value, left, right), seed)):
-                    c.append(x)
-        if out[0]:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kind)], ["doc_id", "start", "length", "value", *PATTERNS, "seed"])
+def _extract(keyed: bool):
+    head = pa.struct([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]) if keyed else pa.int64()
+    kind = [head, pa.int32(), pa.int32(), *[pa.string()] * 6]
+    first = "text_key" if keyed else "doc_id"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            out: list[list] = [[] for _ in kind]
+            text, doc = b.column("text"), b.column(first)
+            for i in _rows_with_marks(text):
+                own = doc[i].as_py()
+                for at, value, left, right, seed in mentions(text[i].as_py()):
+                    for c, x in zip(out, (own, at, len(value), value, *patterns(value, left, right), seed)):
+                        c.append(x)
+            if out[0]:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kind)], [first, "start", "length", "value", *PATTERNS, "seed"])
 
-def extract(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_extract, "doc_id long, start int, length int, value string, shape string, cued string, left string, right string, seed string")
+    return run
+
+
+def extract(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """The mentions with their patterns; of each id, or keyed, of each id and text."""
+    head = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(9), "text").alias("b")).alias("text_key") if keyed else F.col("doc_id").cast("long").alias("doc_id")
+    first = "text_key struct<id:long,a:long,b:long>" if keyed else "doc_id long"
+    return docs.select(head, "text").mapInArrow(_extract(keyed), f"{first}, start int, length int, value string, shape string, cued string, left string, right string, seed string")
 
 
 def learn(found: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -176,49 +215,73 @@ def learn(found: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support:
     return accepted.join(broadcast_if(shapes), covered, "left_anti")
 
 
-def find(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, start, length, kind, value, confidence) of every identifier; seeds have confidence 1."""
-    found = cut(extract(docs))
-    accepted = broadcast_if(cut(learn(found, **options)))
+def _kinds(found: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``found`` with the kind and confidence of what is an identifier."""
     joined = found.where("seed is null or seed <> ''")
     for p in PATTERNS:
         joined = joined.join(accepted.select(F.col("pattern").alias(p), F.col("kind").alias(f"_k_{p}"), F.col("confidence").alias(f"_c_{p}")), p, "left")
     seed = F.nullif("seed", F.lit(""))
     kind, confidence = (F.coalesce(*[f"_{x}_{p}" for p in PATTERNS]) for x in "kc")
-    return joined.select("doc_id", "start", "length", F.coalesce(seed, kind).alias("kind"), "value", F.when(seed.isNotNull(), 1.0).otherwise(confidence).alias("confidence")).where("kind is not null")
+    return joined.withColumns({"kind": F.coalesce(seed, kind), "confidence": F.when(seed.isNotNull(), 1.0).otherwise(confidence)}).where("kind is not null")
+
+
+def find(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, start, length, kind, value, confidence) of every identifier; seeds have confidence 1."""
+    found = cut(extract(docs))
+    return _kinds(found, broadcast_if(cut(learn(found, **options)))).select("doc_id", "start", "length", "kind", "value", "confidence")
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every identifier replaced by its kind in angle brackets; ``n_chars``, where it is, follows the text."""
+    """``docs`` with every identifier replaced by its kind in angle brackets; ``n_chars``, where it is, follows the text.
+
+    Up to ``KNOWN`` accepted patterns are sent to the executors, which read the texts a second time. With more, the spans found are
+    joined to the documents by id and hash of the text; the result is the same.
+    """
     found = cut(extract(docs))
-    known = {r.pattern: r.kind for r in learn(found, **options).collect()}  # each has MIN_SUPPORT confirmed instances: a small vocabulary of shapes and words
-    shared = broadcast_value(docs.sparkSession, known)
+    accepted = cut(learn(found, **options))
     names = docs.columns
-
-    def clean(text: str) -> str:
+    known = {r.pattern: r.kind for r in accepted.limit(KNOWN + 1).collect()}
+    if len(known) <= KNOWN:
+        shared = broadcast_value(docs.sparkSession, known)
+
+        def kinds(text: str) -> Iterator[tuple[int, int, str]]:
+            for at, value, left, right, seed in mentions(text):
+                kind = seed or (None if seed == "" else next((k for p in patterns(value, left, right) if (k := shared.value.get(p))), None))
+                if kind:
+                    yield at, len(value), kind
+
+        return docs.mapInArrow(_replacing(names, lambda b, i: kinds(b.column("text")[i].as_py()), None), T.StructType(docs.schema.fields))
+    spans, key = (fresh(names, x) for x in ("_spans", "_key"))
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(9), "text").alias("b")))
+    each = _kinds(cut(extract(docs, True)), broadcast_if(accepted)).select("text_key", F.struct("start", "length", "kind").alias("span"))
+    listed = each.groupBy("text_key").agg(F.sort_array(F.collect_set("span")).alias(spans)).select(F.col("text_key").alias("_mine"), spans)
+    joined = keyed.join(listed, F.col(key).eqNullSafe(F.col("_mine")), "left").select(*names, spans)
+    return joined.mapInArrow(_replacing(names, lambda b, i: ((x["start"], x["length"], x["kind"]) for x in b.column(spans)[i].as_py() or ()), spans), T.StructType(docs.schema.fields))
+
+
+def _replacing(names: list[str], spans_of: Callable, column: str | None):
+    def clean(text: str, found: Iterator[tuple[int, int, str]]) -> str:
         out, last = [], 0
-        for at, value, left, right, seed in mentions(text):
-            kind = seed or (None if seed == "" else next((k for p in patterns(value, left, right) if (k := shared.value.get(p))), None))
-            if kind:
-                out += [text[last:at], f"<{kind}>"]
-                last = at + len(value)
+        for at, length, kind in found:
+            out += [text[last:at], f"<{kind}>"]
+            last = at + length
         return "".join([*out, text[last:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             text = b.column("text")
-            hit = _rows_with_marks(text)
+            hit = _rows_with_marks(text) if column is None else np.flatnonzero(b.column(column).is_valid().to_numpy(zero_copy_only=False))
+            columns = [b.column(n) for n in names]
             if len(hit):
                 new = text.to_pylist()
                 for i in hit:
-                    new[i] = clean(new[i])
+                    new[i] = clean(new[i], spans_of(b, int(i)))
                 columns = [pa.array(new, text.type) if n == "text" else b.column(n) for n in names]
                 if "n_chars" in names:
                     size = b.column("n_chars").to_pylist()
                     for i in hit:
                         size[i] = len(new[i])
                     columns[names.index("n_chars")] = pa.array(size, b.column("n_chars").type)
-                b = pa.RecordBatch.from_arrays(columns, names)
-            yield b
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return run
