@@ -2,7 +2,9 @@
 
 Two generative models over hashed n-grams, one of the target texts and one of all raw texts, give every document the log
 ratio of its likelihoods. Gumbel noise, fixed by the document's id, is added and the k largest keys are the sample: sampling
-without replacement in proportion to the importance weights.
+without replacement in proportion to the importance weights. The sample's size is a share that is asked for, or the expected number of
+documents of the target: the sum over all documents of the probability of being good, by a logistic curve over the log ratio that is
+fitted on labelled documents.
 
 Features of a text, all hashed into ``BUCKETS``: white-space tokens as written, pairs of neighbours (a token that repeats its
 predecessor has one bucket for all tokens), and the shape of each token's ends. The raw model counts every document; the
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_value, cut, label_sample, uniform
+from .common import broadcast_value, cut, fresh, label_sample, uniform
 from .tokens import EXACT, SOLID, U, ids, mix, ngrams, pieces, rows_of, text_buffer, tokens
 
 BUCKETS = 1 << 14
@@ -73,8 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> n
     return np.log(aim / aim.sum()) - np.log(raw / raw.sum())
 
 
-def with_key(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """``docs`` with ``_log_ratio`` and ``_key`` (log ratio plus Gumbel noise)."""
+def with_key(docs: DataFrame, ratio: np.ndarray, seed: int, log_ratio: str = "log_ratio", key: str = "gumbel_key") -> DataFrame:
+    """``docs`` with the log ratio and the key (log ratio plus Gumbel noise) in columns of these names."""
     shared = broadcast_value(docs.sparkSession, ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +84,9 @@ def with_key(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             bucket, row = features(b.column("text"))
             value = np.bincount(row, weights=shared.value[bucket], minlength=b.num_rows).astype(float)  # of no features, bincount makes integers
             noise = -np.log(-np.log(uniform(ids(b), seed)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value), pa.array(value + noise)], [*b.schema.names, "_log_ratio", "_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value), pa.array(value + noise)], [*b.schema.names, log_ratio, key])
 
-    docs = docs.drop("_log_ratio", "_key")
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("_log_ratio", T.DoubleType()), T.StructField("_key", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(log_ratio, T.DoubleType()), T.StructField(key, T.DoubleType())]))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096, small: int = 4096) -> float:
@@ -109,47 +110,63 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096, small: i
             k -= r.n
     if lo == hi:
         return lo
-    left = sorted((r[0] for r in keys.where((col >= lo) & (col <= hi)).select(col).collect()), reverse=True)
-    return left[k - 1]
-
-
-def break_even(scored: DataFrame, labels: DataFrame, rows: int) -> float:
-    """The key at which most of at most ``rows`` labelled documents are told apart; -inf without both labels."""
-    known = label_sample(labels, "quality", rows).withColumnRenamed("doc_id", "_id")
-    got = scored.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_key", "label").toPandas().sort_values("_key")
-    good = (got.label > 0).to_numpy()
+    # at most ``small`` rows, or values so close that fewer than ``bins`` numbers lie between: each value once
+    for r in keys.where((col >= lo) & (col <= hi)).groupBy(col.alias("v")).count().orderBy(F.desc("v")).collect():
+        if k <= r["count"]:
+            return r.v
+        k -= r["count"]
+    raise AssertionError("the counts do not add up")
+
+
+def posterior(log_ratio: np.ndarray, good: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and intercept of P(good | log ratio), by Newton on the log loss with a small ridge; the ratio in units of its spread."""
+    x = np.stack([log_ratio, np.ones_like(log_ratio)], 1)
+    b = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
+        g = x.T @ (p - good) / len(good) + 1e-4 * b
+        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x / len(good) + 1e-4 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        b = b - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+    return float(b[0]), float(b[1])
+
+
+def expected_good(scored: DataFrame, labels: DataFrame, rows: int) -> int | None:
+    """How many documents belong to the target by expectation: the sum over all of P(good | log ratio).
+
+    The curve is fitted on at most ``rows`` labelled documents; None without both labels. Noise and keys play no part.
+    """
+    known = label_sample(labels, "quality", rows).select(F.col("doc_id").alias("_id"), "label")
+    got = scored.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("log_ratio", "label").toPandas()
+    good = (got.label > 0).to_numpy(float)
     if not len(got) or good.all() or not good.any():
-        return float("-inf")
-    right = np.concatenate([[0], np.cumsum(~good)]) + good.sum() - np.concatenate([[0], np.cumsum(good)])
-    at = int(np.argmax(right))
-    key = got._key.to_numpy()
-    if at == 0:
-        return float("-inf")
-    return float((key[at - 1] + key[at]) / 2) if at < len(key) else float("inf")
+        return None
+    spread = float(np.median(np.abs(got.log_ratio))) or 1.0
+    slope, shift = posterior(got.log_ratio.to_numpy() / spread, good)
+    z = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("log_ratio") * (slope / spread) + shift))
+    return round(scored.agg(F.sum(1 / (1 + F.exp(-z)))).first()[0])
 
 
 def threshold(docs: DataFrame, labels: DataFrame, keep_fraction: float | None = None, seed: int = 6, target_rows: int = TARGET_ROWS) -> tuple[np.ndarray, float, DataFrame]:
     """The model, the key of the last sampled document and the checkpointed keys of all documents."""
     ratio = fit(docs, labels, target_rows)
-    scored = cut(with_key(docs.select("doc_id", "text"), ratio, seed).select("doc_id", "_log_ratio", "_key"))
-    if keep_fraction is None:
-        k = scored.where(F.col("_key") >= break_even(scored, labels, target_rows)).count()
-    else:
-        k = round(keep_fraction * scored.count())
-    return ratio, kth_largest(scored, "_key", k), scored
+    scored = cut(with_key(docs.select("doc_id", "text"), ratio, seed).select("doc_id", "log_ratio", "gumbel_key"))
+    k = expected_good(scored, labels, target_rows) if keep_fraction is None else round(keep_fraction * scored.count())
+    return ratio, float("-inf") if k is None else kth_largest(scored, "gumbel_key", k), scored
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep_fraction: float | None = None, seed: int = 6, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The sampled documents as (doc_id, log_ratio, gumbel_key), the k largest keys.
 
-    k is ``keep_fraction`` of the rows; when that is None, the number of rows whose key passes the break-even point of the
-    labelled sample, so that the share kept follows the labels. Rows tied with the last key are kept.
+    k is ``keep_fraction`` of the rows; when that is None, the number of documents that belong to the target by expectation. Rows tied
+    with the last key are kept; without both labels, all.
     """
     _, last, scored = threshold(docs, labels, keep_fraction, seed, target_rows)
-    return scored.where(F.col("_key") >= last).select("doc_id", F.col("_log_ratio").alias("log_ratio"), F.col("_key").alias("gumbel_key"))
+    return scored.where(F.col("gumbel_key") >= last)
 
 
 def keep(docs: DataFrame, labels: DataFrame, keep_fraction: float | None = None, seed: int = 6, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``docs`` without the rows that are not sampled; every column stays. The score is taken again, which moves no text."""
     ratio, last, _ = threshold(docs, labels, keep_fraction, seed, target_rows)
-    return with_key(docs, ratio, seed).where(F.col("_key") >= last).select(*docs.columns)
+    log_ratio, key = fresh(docs.columns, "_log_ratio"), fresh(docs.columns, "_key")
+    return with_key(docs, ratio, seed, log_ratio, key).where(F.col(key) >= last).select(*docs.columns)
