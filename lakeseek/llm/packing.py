@@ -15,13 +15,18 @@ an empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count as counting
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, cut
 from .mixing import token_table
+from .tokens import SOLID, pieces as text_pieces, text_buffer
 
 CAPACITY = 2048
 QUANTUM = 16
@@ -52,12 +57,14 @@ def best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float
     return float(best[room]), pattern
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, room: int, max_rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def solve(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns (patterns) and their amounts in the optimum of the linear program; exactly covers the demand."""
     m = len(sizes)
     basis = np.diag(room // sizes).astype(float)  # each length alone, as often as it fits
     amount = demand / (room // sizes)
-    for _ in range(max_rounds):
+    for turn in counting():
+        if turn > 1000 * m:  # never seen; a wrong optimum is not passed on in silence
+            raise ArithmeticError("column generation goes in a circle")
         dual = np.linalg.solve(basis.T, np.ones(m))
         value, pattern = best_pattern(dual, sizes, room)
         if value <= 1 + 1e-9:
@@ -105,12 +112,14 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM) -> DataFrame:
-    """(doc_id, piece, first_token, n_tokens, bin_id, slot): where each piece of each document goes."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM, text: bool = False) -> DataFrame:
+    """(doc_id, piece, first_token, n_tokens, bin_id, slot): where each piece of each document goes; with text, its characters too."""
     room = capacity // quantum
-    slim = token_table(docs.withColumn("source", F.lit("")) if "source" not in docs.columns else docs).where("n_tokens > 0")
-    pieces = slim.select("doc_id", "h", "n_tokens", F.explode(F.expr(f"sequence(0L, cast((n_tokens - 1) div {capacity} as bigint))")).alias("piece"))
-    pieces = pieces.select("doc_id", "h", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
+    # in place of the source, which packing does not need: 128 bits that tell rows of other ids or texts apart
+    key = F.concat_ws("-", F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(9), "text", "doc_id"))
+    slim = token_table(docs.select("doc_id", "text", key.alias("source"))).where("n_tokens > 0").withColumnRenamed("source", "text_key")
+    pieces = slim.select("doc_id", "text_key", "h", "n_tokens", F.explode(F.expr(f"sequence(0L, cast((n_tokens - 1) div {capacity} as bigint))")).alias("piece"))
+    pieces = pieces.select("doc_id", "text_key", "h", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
     pieces = pieces.withColumn("size", F.ceil(F.col("n_tokens") / quantum).cast("int"))
     rows = slim.count()
     slices = max(1, -(-rows // SLICE_ROWS))
@@ -132,4 +141,32 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM) -> D
     ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("size", "slice").orderBy("h", "doc_id", "piece"))).join(broadcast_if(offset), ["size", "slice"])
     ranked = ranked.withColumn("rank", F.col("r") - 1 + F.col("before"))
     placed = ranked.join(F.broadcast(fixed), "size").where("rank >= lo and rank < hi")  # fixed has at most (lengths + patterns) * lengths rows
-    return placed.select("doc_id", "piece", "first_token", "n_tokens", (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("bin_id"), (F.col("at") + (F.col("rank") - F.col("lo")) % F.col("per")).cast("int").alias("slot"))
+    slot_of = (F.col("at") + (F.col("rank") - F.col("lo")) % F.col("per")).cast("int")
+    placed = placed.select("doc_id", "text_key", "piece", "first_token", "n_tokens", (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("bin_id"), slot_of.alias("slot"))
+    if not text:
+        return placed.drop("text_key")
+    mine = placed.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("piece", "first_token", "n_tokens", "bin_id", "slot"))).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text").dropDuplicates(["text_key"])
+    return texts.join(mine, "text_key").select("doc_id", "text", "places").mapInArrow(_cut_texts, "doc_id long, piece long, first_token long, n_tokens int, bin_id long, slot int, text string")
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each place, with the text from its first token up to the first one of the next piece."""
+    for b in text_pieces(batches, "text"):
+        raw, off = text_buffer(b.column("text"))
+        solid = SOLID[raw]
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        at = off[:-1][off[:-1] < len(raw)]
+        start[at] = solid[at]
+        first = np.flatnonzero(start)
+        index = np.searchsorted(first, off)
+        places = b.column("places")
+        flat = places.flatten()
+        row = np.repeat(np.arange(b.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+        token, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first_token", "n_tokens"))
+        lo = np.where(token == 0, off[row], first[np.minimum(index[row] + token, len(first) - 1)])
+        end = index[row] + token + n
+        hi = np.where(end >= index[row + 1], off[row + 1], first[np.minimum(end, len(first) - 1)])
+        body = [raw[i:j].tobytes().decode("utf-8") for i, j in zip(lo, hi)]
+        yield pa.record_batch([b.column("doc_id").take(pa.array(row)), *[flat.field(k) for k in ("piece", "first_token", "n_tokens", "bin_id", "slot")], pa.array(body, pa.string())], ["doc_id", "piece", "first_token", "n_tokens", "bin_id", "slot", "text"])
