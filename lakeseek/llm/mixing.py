@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut
+from .common import broadcast_if, cut, fresh
 from .tokens import SOLID, pieces, text_buffer, tokens
 
 MAX_SHARE = 0.25
@@ -131,9 +131,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, max_share: flo
 def keep(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float = MAX_SHARE, fraction: float = 1.0) -> DataFrame:
     """``docs`` cut to the target mix; the test is on the hash of the id, so the texts are not moved."""
     slim = token_table(docs)
-    last = cut(thresholds(slim, cut(budgets_of(slim, weights, max_share, (fraction,))))).select(F.col("source").alias("_s"), F.col("last").alias("_last"))
-    inside = docs.join(broadcast_if(last), F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_s")).where(F.expr(HASH) <= F.col("_last"))
-    return inside.select(*[docs[c] for c in docs.columns])
+    source, limit = fresh(docs.columns, "_source"), fresh(docs.columns, "_last")
+    last = cut(thresholds(slim, cut(budgets_of(slim, weights, max_share, (fraction,))))).select(F.col("source").alias(source), F.col("last").alias(limit))
+    inside = docs.join(broadcast_if(last), F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(source)).where(F.expr(HASH) <= F.col(limit))
+    return inside.select(*docs.columns)
 
 
 ORACLE = f"""
