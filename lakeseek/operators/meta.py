@@ -1,10 +1,16 @@
-"""Document metadata: change detection, chunk differences, usage."""
+"""Document metadata: change detection, chunk differences, status, usage, records."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from .vector import delete_some, under, upsert
+
+#: What may follow a status.
+STATUS = {"pending": ("indexing",), "indexing": ("indexed", "failed"), "indexed": ("indexing", "partial_deleted"), "failed": ("indexing",), "partial_deleted": ("indexing",)}
+
 
 def changes(listing: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(key, change): new, changed, deleted or same, by size, time and hash; both sides are (key, size, mtime, hash)."""
@@ -23,3 +29,65 @@ def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     rows = joined.select(F.expr("coalesce(a.doc_id, b.doc_id)").alias("doc_id"), same.alias("same"), F.expr("coalesce(a.summary, '') <> ''").alias("done"))
     flags = rows.groupBy("doc_id").agg(F.bool_and("same").alias("same"), F.bool_and("done").alias("done"))
     return flags.select("doc_id", F.expr("case when not same then 'Full' when done then 'SkipAll' else 'SkipRefill' end").alias("action"))
+
+
+def resume(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """Chunks with the summaries that equal chunks (chunk_id) had before; those without one are still to be made."""
+    before = done.where("coalesce(summary, '') <> ''").select("chunk_id", F.col("summary").alias("_s")).dropDuplicates(["chunk_id"])
+    return chunks.join(before, "chunk_id", "left").withColumn("summary", F.coalesce(F.nullif("summary", F.lit("")), "_s", F.lit(""))).select(*chunks.columns)
+
+
+def put(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Records by path: new ones replace old ones; file_name and ext come from the path."""
+    path = F.col("path")
+    return upsert(known, new.withColumns({"file_name": text.file_name(path), "ext": text.extension(path)}).select(*known.columns), ["path"])
+
+
+def drop(known: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the records of these paths; ``KeyError`` if none is there."""
+    return delete_some(known, gone, "path")
+
+
+def with_status(known: DataFrame, status: str | None = None, folder: str | None = None) -> DataFrame:
+    """Records of a status, and those of a folder or below it."""
+    rows = known if status is None else known.where(F.col("status") == status)
+    return rows if folder is None else rows.where(under(F.col("path"), folder))
+
+
+def may_follow(old: Column, new: Column) -> Column:
+    """Whether a status may follow another; anything but what ``STATUS`` lists is refused, a first status must be pending or indexing."""
+    allowed = F.lit(False)
+    for k, after in STATUS.items():
+        allowed = allowed | ((old == k) & new.isin(*after))
+    return F.when(old.isNull(), new.isin("pending", "indexing")).otherwise(allowed)
+
+
+def count_by_status(known: DataFrame, status: str = "status") -> DataFrame:
+    return known.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+
+
+def recent(rows: DataFrame, time: str, key: str, most: int = 0) -> DataFrame:
+    """The newest first; below 1 all of them."""
+    ordered = rows.orderBy(F.desc(time), F.desc(key))
+    return ordered.limit(most) if most > 0 else ordered
+
+
+def record_usage(usages: DataFrame, new: DataFrame) -> DataFrame:
+    return usages.unionByName(new)
+
+
+def usage_totals(usages: DataFrame, by: str, tokens: Column, model: Column, key: str) -> DataFrame:
+    """(by, total, latest): the tokens used, and the model of the greatest key."""
+    return usages.groupBy(by).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("total"), F.max_by(model, F.col(key)).alias("latest"))
+
+
+def folder_sizes(files: DataFrame, folder: str, size: str) -> DataFrame:
+    """(folder, documents, size): of each folder its files and their bytes."""
+    return files.groupBy(folder).agg(F.count("*").alias("documents"), F.sum(size).alias("size"))
+
+
+def relations_to_ids(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations (subject, predicate, object) between the ids of entities (name, entity_id); those with an unknown end are left out."""
+    s = entities.select(F.col("name").alias("subject"), F.col("entity_id").alias("src"))
+    o = entities.select(F.col("name").alias("object"), F.col("entity_id").alias("dst"))
+    return relations.join(s, "subject").join(o, "object").select("src", "dst", F.col("predicate").alias("type"))

@@ -57,9 +57,28 @@ def matching(nodes: DataFrame, spec: Spec, fields: Sequence[str]) -> DataFrame:
     return df
 
 
+def order_keys(name: str, down: bool) -> list:
+    """Numbers by value, then texts; empty ones last."""
+    keys = [F.col(name).try_cast("double"), F.col(name)]
+    return [k.desc_nulls_last() if down else k.asc_nulls_last() for k in keys]
+
+
 def query(nodes: DataFrame, spec: Spec, fields: Sequence[str]) -> DataFrame:
-    """One page; an order by fields that are not declared is left out, ties and the default go by id."""
+    """One page; an order by fields that are not declared is left out, ties and the default go by id. Numbers are ordered by value."""
     size = min(spec.size if spec.size > 0 else 20, 200)
-    keys = [F.col(n).desc() if down else F.col(n).asc() for n, down in spec.order if n in fields]
+    keys = [k for n, down in spec.order if n in fields for k in order_keys(n, down)]
     columns = ["node_id", *[_field(c, fields) for c in spec.columns or fields]]
     return matching(nodes, spec, fields).orderBy(*keys, "node_id").offset((max(spec.page, 1) - 1) * size).limit(size).select(*columns)
+
+
+def page(nodes: DataFrame, spec: Spec, fields: Sequence[str]) -> tuple[DataFrame, int]:
+    """One page and the number of all rows."""
+    return query(nodes, spec, fields), matching(nodes, spec, fields).count()
+
+
+def describe(nodes: DataFrame, label: str) -> DataFrame:
+    """(field, type, n): the properties that nodes of a label have, with the type that all values are read as: boolean, number or string."""
+    _field(label, [label])
+    each = nodes.where(F.array_contains("labels", label)).select(F.explode("properties").alias("field", "value")).where("value is not null")
+    kind = F.when(F.bool_and(F.col("value").isin("true", "false")), "boolean").when(F.bool_and(F.col("value").try_cast("double").isNotNull()), "number").otherwise("string")
+    return each.groupBy("field").agg(kind.alias("type"), F.count("*").alias("n"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 import csv
 import email
 import email.policy
-import fnmatch
 import html.parser
 import io
 import json
@@ -136,16 +135,88 @@ def _texts(e: ET.Element, tag: str) -> str:
     return "".join(x.text or "" for x in e.iter() if x.tag.rpartition("}")[2] == tag)
 
 
+def _tag(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _attr(e: ET.Element, name: str) -> str:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), "")
+
+
+def _run_text(r: ET.Element) -> str:
+    text = "".join((x.text or "") if _tag(x) == "t" else "\t" if _tag(x) == "tab" else "\n" if _tag(x) in ("br", "cr") else "" for x in r)
+    if not text.strip():
+        return text
+    on = {_tag(x) for p in r if _tag(p) == "rPr" for x in p if _attr(x, "val") not in ("0", "false", "none")}
+    text = re.sub(r"([*~\\])", r"\\\1", text)
+    for mark, sign in (("strike", "~~"), ("b", "**"), ("i", "*")):
+        text = f"{sign}{text}{sign}" if mark in on else text
+    return text
+
+
+def _paragraph(p: ET.Element, links: dict[str, str], kinds: dict[str, str], counts: dict[tuple, int]) -> str:
+    out = []
+    for x in p:
+        if _tag(x) == "r":
+            out.append(_run_text(x))
+        elif _tag(x) == "hyperlink":
+            inner = "".join(_run_text(r) for r in x if _tag(r) == "r")
+            target = links.get(_attr(x, "id"), "")
+            out.append(f"[{inner}]({target})" if target else inner)
+    text = "".join(out)
+    if not text.strip():
+        return ""
+    own = next((x for x in p if _tag(x) == "pPr"), None)
+    own = own if own is not None else ET.Element("none")
+    style = next((_attr(x, "val") for x in own if _tag(x) == "pStyle"), "")
+    if level := re.fullmatch(r"(?:[Hh]eading\s*)?([1-6])", style):
+        return "#" * int(level[1]) + " " + text
+    if style == "Code":
+        return f"`{text}`"
+    number = next((x for x in own if _tag(x) == "numPr"), None)
+    if number is not None:
+        num, depth = (next((_attr(x, "val") for x in number if _tag(x) == k), "0") for k in ("numId", "ilvl"))
+        left = next((_attr(x, "left") for x in own if _tag(x) == "ind"), "")
+        indent = "  " * (int(left) // 360 if left.isdigit() else int(depth or 0))
+        if kinds.get(num) == "decimal":
+            counts[num, indent] = counts.get((num, indent), 0) + 1
+            return f"{indent}{counts[num, indent]}. {text}"
+        return f"{indent}- {text}"
+    return text
+
+
+def _table(t: ET.Element) -> str:
+    """A Markdown table; its head is empty, cells are as wide as the widest of their column."""
+    rows = [[" ".join(filter(None, ("".join(_run_text(r) for r in p.iter() if _tag(r) == "r").strip() for p in c.iter() if _tag(p) == "p"))).replace("|", "\\|").replace("\n", " ") for c in r if _tag(c) == "tc"] for r in t if _tag(r) == "tr"]
+    n = max(map(len, rows), default=0)
+    rows = [r + [""] * (n - len(r)) for r in rows]
+    wide = [max(3, *(len(r[k].encode()) for r in rows)) for k in range(n)]
+    line = lambda r: "| " + " | ".join(x + " " * (w - len(x.encode())) for x, w in zip(r, wide)) + " |"
+    return "\n".join([line([""] * n), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, rows)]) if n else ""
+
+
+def _relations(z: zipfile.ZipFile, name: str) -> dict[str, str]:
+    return {x.attrib["Id"]: x.attrib.get("Target", "") for x in ET.fromstring(z.read(name))} if name in z.namelist() else {}
+
+
 def parse_docx(data: bytes) -> tuple[str, dict]:
-    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
+    z = zipfile.ZipFile(io.BytesIO(data))
+    links, kinds, counts = _relations(z, "word/_rels/document.xml.rels"), {}, {}
+    if "word/numbering.xml" in z.namelist():
+        root = ET.fromstring(z.read("word/numbering.xml"))
+        formats = {_attr(a, "abstractNumId"): next((_attr(x, "val") for x in a.iter() if _tag(x) == "numFmt"), "bullet") for a in root if _tag(a) == "abstractNum"}
+        kinds = {_attr(a, "numId"): formats.get(next((_attr(x, "val") for x in a if _tag(x) == "abstractNumId"), ""), "bullet") for a in root if _tag(a) == "num"}
+    body = next(x for x in ET.fromstring(z.read("word/document.xml")) if _tag(x) == "body")
     out = []
-    for p in root.iter():
-        if p.tag.endswith("}p") and (text := _texts(p, "t")):
-            style = next((v for x in p.iter() if x.tag.endswith("}pStyle") for k, v in x.attrib.items() if k.endswith("}val")), "")
-            level = re.search(r"[Hh]eading\s*([1-6])|^([1-6])$", style)
-            listed = any(x.tag.endswith("}numPr") for x in p.iter())
-            out.append("#" * int(level[1] or level[2]) + " " + text if level else "- " + text if listed else text)
-    return "\n\n".join(out), {}
+    for x in body:
+        if _tag(x) == "p":
+            out.append(_paragraph(x, links, kinds, counts))
+            for box in (t for t in x.iter() if _tag(t) == "txbxContent"):
+                inner = "\n".join(filter(None, ("".join(r.text or "" for r in p.iter() if _tag(r) == "t") for p in box if _tag(p) == "p")))
+                out.append(f"```\n{inner}\n```" if inner else "")
+        elif _tag(x) == "tbl":
+            out.append(_table(x))
+    return "\n\n".join(filter(None, out)), {}
 
 
 def parse_pptx(data: bytes) -> tuple[str, dict]:
@@ -154,10 +225,24 @@ def parse_pptx(data: bytes) -> tuple[str, dict]:
     out = []
     for k, (_, name) in enumerate(slides, 1):
         out.append(f"## Slide {k}")
-        out += [t for p in ET.fromstring(z.read(name)).iter() if p.tag.endswith("}p") and (t := _texts(p, "t"))]
+        for shape in (x for x in ET.fromstring(z.read(name)).iter() if _tag(x) == "sp"):
+            title = any(_tag(x) == "ph" and _attr(x, "type") in ("title", "ctrTitle") for x in shape.iter())
+            for p in (x for x in shape.iter() if _tag(x) == "p"):
+                if not (t := _texts(p, "t").strip()):
+                    continue
+                own = next((x for x in p if _tag(x) == "pPr"), None)
+                listed = own is not None and (any(_tag(x) in ("buChar", "buAutoNum") for x in own) or own.attrib.get("lvl", "0") != "0")
+                depth = int(own.attrib.get("lvl", "0")) if listed else 0
+                out.append("### " + t if title else "  " * depth + "- " + t if listed else t)
     return "\n\n".join(out), {"slides": len(slides)}
 
 
+def _column(ref: str, following: int) -> int:
+    """The place of a cell, by its letters; without a reference the one that follows."""
+    letters = re.match("[A-Z]*", ref)[0]
+    return sum((ord(c) - 64) * 26**k for k, c in enumerate(reversed(letters))) - 1 if letters else following
+
+
 def parse_xlsx(data: bytes) -> tuple[str, dict]:
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = [_texts(x, "t") for x in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
@@ -166,13 +251,15 @@ def parse_xlsx(data: bytes) -> tuple[str, dict]:
     for k, name in enumerate(names, 1):
         rows = []
         for row in (x for x in ET.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter() if x.tag.endswith("}row")):
-            cells = []
+            cells: list[str] = []
             for c in row:
                 v = _texts(c, "v") or _texts(c, "t")
-                cells.append(shared[int(v)] if c.attrib.get("t") == "s" and v else v)
+                at = _column(c.attrib.get("r", ""), len(cells))
+                cells += [""] * (at + 1 - len(cells))
+                cells[at] = shared[int(v)] if c.attrib.get("t") == "s" and v else v
             if any(cells):
                 rows.append(cells)
-        out.append({"sheet": name, "rows": [dict(zip(rows[0], r)) for r in rows[1:]] if rows else []})
+        out.append({"sheet": name, "rows": [dict(zip(rows[0], r + [""] * (len(rows[0]) - len(r)))) for r in rows[1:]] if rows else []})
     return to_json(out), {"sheets": len(names)}
 
 
@@ -230,35 +317,128 @@ def parse(name: str, data: bytes) -> tuple[str, dict, str | None]:
     return content, {k: str(v) for k, v in meta.items() if v != ""}, None
 
 
+TEXT = "txt md markdown html htm css js jsx mjs ts tsx py go java kt c cpp cc h hpp cs rs php rb sh sql swift scala vue svelte graphql gql ini conf cfg env tsv".split()
+INDEXABLE = frozenset([*TEXT, *DATA, *DOCUMENT, *IMAGE])
+IGNORE_FILE = ".indexignore"
+DEEPEST = 64
+
+
+def load_rules(text: str) -> list[str]:
+    """One rule a line; blank lines and those that begin with # do nothing."""
+    return [r for x in text.splitlines() if (r := x.strip()) and not r.startswith("#")]
+
+
 def ignored(path: str, rules: Sequence[str]) -> bool:
     """Suffix (``*.x``, ``**.x``), folder (``x/``), segment and shell patterns; blank rules and comments do nothing."""
-    parts = path.strip("/").split("/")
-    for rule in (r.strip() for r in rules):
-        if not rule or rule.startswith("#"):
-            continue
-        if rule.startswith(("**.", "*.")) and parts[-1].endswith(rule.lstrip("*")):
-            return True
-        if rule.rstrip("/") in parts or path.startswith(rule.rstrip("/") + "/") or fnmatch.fnmatch(parts[-1], rule) or fnmatch.fnmatch(path, rule):
-            return True
-    return False
-
-
-def scan(spark: SparkSession, folder: str, rules: Sequence[str] = ()) -> DataFrame:
-    """Raw documents of every file below a folder; ``*.rag`` folders are skipped. Files are read and parsed where they lie."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/") + "/"
+    return any(re.search(p, path.strip("/")) for p in map(rule_pattern, load_rules("\n".join(rules))))
+
+
+def rule_pattern(rule: str) -> str:
+    """A rule as a regular expression over the path below the folder, for Python and for Spark alike."""
+    if rule.startswith(("**.", "*.")):
+        return re.escape(rule.lstrip("*")).replace("\\-", "-") + "$"
+    plain = rule.strip("/")
+    if any(c in plain for c in "*?["):
+        shell = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else c if c in "[]-^" else re.escape(c) for c in plain)
+        return f"(?:^|/){shell}(?:/|$)"
+    return f"^{re.escape(plain)}|(?:^|/){re.escape(plain)}(?:/|$)"
+
 
+def _layers(spark: SparkSession, folder: str, ignore_file: str) -> list[tuple[str, str]]:
+    """(folder below, pattern) of every rule file; a rule holds for its own folder and all below."""
+    jvm, base = spark._jvm, folder.rstrip("/")
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(base)).toUri().getPath()
+    out = []
+    for depth in range(DEEPEST + 1):  # one listing a level; such files are hidden from Spark's own sources
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base + "/*" * depth + "/" + ignore_file)) or ():
+            path = status.getPath()
+            inside = path.toUri().getPath().removeprefix(root).strip("/").rpartition("/")[0]
+            body = fs.open(path)
+            out += [(inside, rule_pattern(x)) for x in load_rules(jvm.org.apache.commons.io.IOUtils.toString(body, "UTF-8"))]
+            body.close()
+        if not len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(base + "/*" * (depth + 1))) or ()):
+            break
+    else:
+        raise ValueError(f"folders more than {DEEPEST} deep")
+    return out
+
+
+def listing(spark: SparkSession, folder: str, rules: Sequence[str] = (), ignore_file: str = IGNORE_FILE, everything: bool = False) -> DataFrame:
+    """Files below a folder (path, file_name, inside, size, mod_time, content): of indexable extensions, not ignored, not in a ``*.rag`` folder.
+
+    What is left out is left out by conditions on the path; a plan that does not use ``content`` never opens a file.
+    """
+    ext = ",".join(sorted({e for x in INDEXABLE for e in (x, x.upper())}))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    df = (read if everything else read.option("pathGlobFilter", "*.{" + ext + "}")).load(folder)
+    name = F.regexp_replace("path", "^file:/+", "/")
+    inside = F.expr(f"substring(file_name, {len(folder.rstrip('/')) + 2})")
+    df = df.select("path", name.alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").withColumn("inside", inside)
+    df = df.where(~F.col("inside").rlike("(?:^|/)[^/]*\\.rag/"))
+    for p in map(rule_pattern, load_rules("\n".join(rules))):
+        df = df.where(~F.col("inside").rlike(p))
+    for below, p in _layers(spark, folder, ignore_file):
+        part = F.col("inside") if not below else F.when(F.col("inside").startswith(below + "/"), F.substring("inside", len(below) + 2, 1 << 20))
+        df = df.where(~F.coalesce(part.rlike(p), F.lit(False)))
+    return df
+
+
+def scan(spark: SparkSession, folder: str, rules: Sequence[str] = (), ignore_file: str = IGNORE_FILE) -> DataFrame:
+    """Raw documents of every indexable file below a folder. Files are read and parsed where they lie."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for path, when, size, data in zip(p["path"], p["modificationTime"], p["length"], p["content"]):
-                name = re.sub(r"^file:/+", "/", path)
-                inside = name.removeprefix(root)
-                if ignored(inside, rules) or any(x.endswith(".rag") for x in inside.split("/")[:-1]):
-                    continue
+            for name, when, size, data in zip(p["file_name"], p["mod_time"], p["size"], p["content"]):
                 content, meta, error = parse(name, bytes(data))
                 rows.append((name, kind_of(name.rpartition(".")[2].lower()), content, size, when, meta, error))
             yield pd.DataFrame(rows, columns=["file_name", "doc_type", "content", "size", "mod_time", "meta", "error"])
 
-    docs = files.select("path", "modificationTime", "length", "content").mapInPandas(run, RAW)
+    docs = listing(spark, folder, rules, ignore_file).select("file_name", "mod_time", "size", "content").mapInPandas(run, RAW)
     return docs.withColumn("doc_id", doc_id(F.col("file_name"), F.col("content")))
+
+
+def from_texts(rows: DataFrame, content: str = "content", doc_type: str = "text") -> DataFrame:
+    """Raw documents of a table of texts: without a file name, the id is that of the content."""
+    none = F.lit(None)
+    return rows.select(F.lit("").alias("file_name"), F.lit(doc_type).alias("doc_type"), F.col(content).alias("content"), F.octet_length(content).cast("long").alias("size"), none.cast("timestamp").alias("mod_time"), F.create_map().cast("map<string,string>").alias("meta"), none.cast("string").alias("error"), doc_id(F.lit(""), F.col(content)).alias("doc_id"))
+
+
+def open_file(spark: SparkSession, path: str) -> DataFrame:
+    """One raw document; ``ValueError`` for an empty or relative path, ``FileNotFoundError`` for none, ``IsADirectoryError`` for a folder."""
+    import os
+
+    if not path or not (path.startswith("/") or "://" in path):
+        raise ValueError(f"not an absolute path: {path!r}")
+    if "://" not in path:
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+        if os.path.isdir(path):
+            raise IsADirectoryError(path)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for name, when, size, data in zip(p["path"], p["modificationTime"], p["length"], p["content"]):
+                name = re.sub(r"^file:/+", "/", name)
+                content, meta, error = parse(name, bytes(data))
+                rows.append((name, kind_of(name.rpartition(".")[2].lower()), content, size, when, meta, error))
+            yield pd.DataFrame(rows, columns=["file_name", "doc_type", "content", "size", "mod_time", "meta", "error"])
+
+    return spark.read.format("binaryFile").load(path).mapInPandas(run, RAW).withColumn("doc_id", doc_id(F.col("file_name"), F.col("content")))
+
+
+def load_schemas(spark: SparkSession, folder: str) -> tuple[dict[str, dict], dict[str, str]]:
+    """The JSON schemas of a folder, not below it, by the file's base name; and the errors of those that do not parse."""
+    good: dict[str, dict] = {}
+    bad: dict[str, str] = {}
+    for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", "content").collect():  # schemas are few
+        name = r.path.rpartition("/")[2].rpartition(".")[0]
+        try:
+            value = json.loads(bytes(r.content))
+            if not isinstance(value, dict):
+                raise ValueError("no object")
+            good[name] = value
+        except ValueError as e:
+            bad[name] = str(e)
+    return good, bad
