@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import cut
 from ..functions import ids, text
 from ..operators import code, datum, graph, meta, result, split, vector
 from ..sources import files
@@ -667,7 +668,7 @@ def document_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
     nodes = d.select("node_id", F.array(F.lit("Document")).alias("labels"), F.expr("concat('doc', doc_id)").alias("name"), none.alias("properties"), F.array("doc_id").alias("docs"))
     entity = d.select((F.col("doc_id") % 7).alias("k")).distinct().select(F.expr("concat('e', k)").alias("node_id"), F.array(F.lit("Entity")).alias("labels"), F.expr("concat('entity', k)").alias("name"), none.alias("properties"), F.array().cast("array<bigint>").alias("docs"))
     links = d.select("node_id", F.expr("concat('e', doc_id % 7)").alias("dst")).select(ids.digest(F.col("node_id"), F.lit("HAS"), F.col("dst")).alias("edge_id"), F.col("node_id").alias("src"), "dst", F.lit("HAS").alias("type"))
-    return graph.save_roots(nodes.unionByName(entity), links, d)
+    return tuple(map(cut, graph.save_roots(nodes.unionByName(entity), links, d)))
 
 
 @query(f"with {_DOCS}, s as (select sha256('/en/src1') as node_id union select node_id from d where starts_with(dir, '/en/src1')), r as (select node_id from s union select b from s join both_ on a = node_id) select node_id, name, label from nodes where node_id in (select node_id from r)")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lakeseek.engine import Engine
 from lakeseek.extensions import BatchEmbedder, Hooks, Query, as_json, as_text, summarizer
-from lakeseek.functions import text
+from lakeseek.functions import text, wordpiece
 from lakeseek.operators import code, datum, graph, meta, result, split, vector
-from lakeseek.plans import cypher, view
+from lakeseek.plans import cypher, expansion, view
 from lakeseek.sources import files
 from lakeseek.streaming.incremental import index_stream, snapshot
 
@@ -409,3 +409,26 @@ def test_stream_rewrites_touched_buckets(spark, tmp_path):
         index_stream(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "out"), ["id"], str(tmp_path / "cp"), buckets=4).awaitTermination(120)
     assert {tuple(r) for r in snapshot(spark, str(tmp_path / "out")).collect()} == {(1, "a"), (2, "d"), (3, "e"), (9, "z")}
     assert {tuple(r) for r in snapshot(spark, str(tmp_path / "out"), 0).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_wordpiece(spark):
+    vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "runn", "##ing", "中", "国", "!", "cafe"]
+    assert wordpiece.basic("Café中国, a\u0000b!") == ["cafe", "中", "国", ",", "ab", "!"]
+    table = {w: k for k, w in enumerate(vocabulary)}
+    assert wordpiece.pieces("unaffable", table) == ["un", "##aff", "##able"] and wordpiece.pieces("unknown", table) == ["[UNK]"]
+    got = spark.createDataFrame([("Unaffable running Café!",), (None,)], "t string").select(wordpiece.encode_column(F.col("t"), vocabulary, 10).alias("e")).collect()
+    assert got[0].e.ids == [2, 4, 5, 6, 7, 8, 12, 11, 3, 0] and got[0].e.mask == [1] * 9 + [0] and got[1].e.ids == [2, 3] + [0] * 8
+    assert wordpiece.encode("running " * 50, table, 8)[0][-1] == 3
+
+
+def test_expansion():
+    assert expansion.wordings("a b", lambda p: "1. b a\n- a b\n\nc", 3) == ["a b", "b a", "c"]
+
+    def fails(prompt):
+        raise RuntimeError
+
+    assert expansion.wordings("q", fails) == ["q"] and expansion.rewrite("q", fails) == "q" and expansion.made_answer("q", lambda p: "an answer") == "an answer"
+    answers, waits = ["nothing", "MATCH (n) DELETE n", "```cypher\nMATCH (n) RETURN n\n```"], []
+    assert expansion.to_cypher("?", "", lambda p: answers.pop(0), sleep=waits.append) == "MATCH (n) RETURN n" and waits == [2, 4]
+    with pytest.raises(cypher.CypherError):
+        expansion.to_cypher("?", "", lambda p: "no", sleep=waits.append)
