@@ -62,17 +62,18 @@ def near_copies():
     return texts + [passage, passage + " tail", "odd " + passage, None, "", "!!", "one", "One."]
 
 
-@pytest.mark.parametrize("block", [4096, 6])
-def test_ngram_join(spark, block):
+@pytest.mark.parametrize("block,hot,sent", [(4096, 512, 10**6), (6, 6, 10**6), (6, 6, 0)])
+def test_ngram_join(spark, monkeypatch, block, hot, sent):
+    monkeypatch.setattr(ngram_join, "SENT", sent)
     texts = near_copies()
     ids = list(range(len(texts)))
     ids[3] = None
     df = clashing(spark, [*texts, texts[0]], [*ids, 0])
     truth = near_groups(texts, ids)
-    got = {r.doc_id: (r.group_id, r.group_size) for r in ngram_join.groups(df, block=block).collect()}
+    got = {r.doc_id: (r.group_id, r.group_size) for r in ngram_join.groups(df, block=block, hot=hot).collect()}
     size = Counter(truth.values())
     assert got == {d: (g, size[g]) for d, g in truth.items()}
-    kept = ngram_join.keep_one(df, block=block)
+    kept = ngram_join.keep_one(df, block=block, hot=hot)
     assert kept.columns == df.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d in [*ids, 0] if d is None or truth.get(d, d) == d)
 
@@ -87,7 +88,7 @@ def test_ngram_join_leaves_large_trees(spark):
     before = classes.select(F.explode(F.slice("least", 1, 8)).alias("a")).groupBy("a").count().agg(F.max("count")).first()[0]
     after = ngram_join._spread(classes, 8, 20).groupBy("anchor").count().where("count > 20").count()
     assert before > 60 and after == 0
-    assert {r.doc_id: r.group_id for r in ngram_join.groups(docs, block=20).collect()} == near_groups(texts, range(120))
+    assert {r.doc_id: r.group_id for r in ngram_join.groups(docs, hot=20).collect()} == near_groups(texts, range(120))
 
 
 def test_components_go_on_to_the_end(spark):
