@@ -9,15 +9,15 @@ length whose words occur in another document. The first occurrence of each windo
    windows whose middles have only phrases of a single document are not repeated.
 2. Around each other phrase lies the stretch of windows that have it in their middle. Those whose least phrase it is are sent to the bucket of that
    phrase, so equal windows meet, and text without repeats goes no further.
-   A phrase with more than ``HOT`` occurrences (a licence line) has no bucket: its windows are aggregated by their hashes, which combines
-   in every task before the shuffle.
+   A phrase with more than ``HOT`` occurrences (a licence line) has no bucket: each of its windows goes to its own hash, where the rows come
+   in order and are passed on one by one; none is held but those of the first document.
 3. In a bucket, the stretches are parsed again. The suffix array of the dictionary of distinct phrases and that of the parse, both by
    prefix doubling, combine into corpus order: a suffix is ordered by the rank of the rest of its phrase, then by the rank of the
    parse that follows. Neighbours in that order that agree for ``WORDS`` words are one class; classes of several documents are repeats.
 
 Defined cases: null and empty texts have no words; texts of fewer than ``WORDS`` words have no window; rows with a null id are left
 out, as they have no identity; repeated rows of one id are one document; an empty table gives an empty result; other columns are not
-looked at; words are compared without ASCII case and punctuation. Words count as equal by 64 bits of hash in phrases, by 40 in windows.
+looked at; words are compared without ASCII case and punctuation. Words count as equal by 40 bits of hash.
 """
 
 from __future__ import annotations
@@ -100,11 +100,17 @@ def phrases(t: np.ndarray, index: np.ndarray, words: int) -> tuple[np.ndarray, n
     return row[a[same]], a[same], b[same] + GRAM, ranges
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, of ``BYTES`` bytes, and each row's range in them."""
+    raw, off = text_buffer(column)
+    t, _, _, index = tokens(raw, off)
+    return t >> U(64 - 8 * BYTES), index
+
+
 def _phrases(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            raw, off = text_buffer(b.column("text"))
-            t, _, _, index = tokens(raw, off)
+            t, index = _words(b.column("text"))
             row, s, e, ranges = phrases(t, index, words)
             if len(s):
                 yield pa.record_batch([pa.array(ranges(s, e).view(np.int64)), pa.array(ids(b)[row])], ["phrase", "doc_id"])
@@ -112,29 +118,36 @@ def _phrases(words: int):
     return run
 
 
-def _pack(t: np.ndarray) -> bytes:
-    """Words as their first ``BYTES`` bytes each."""
-    return t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()
+def _pack(t: np.ndarray) -> np.ndarray:
+    return t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
 
 
 def _unpack(x: bytes) -> np.ndarray:
     out = np.zeros((len(x) // BYTES, 8), np.uint8)
-    out[:, 8 - BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
+    out[:, :BYTES] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
     return out.reshape(-1).view("<u8").astype(U)
 
 
-def _stretches(words: int, hot: bool):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, body): the words in place of the text, which is longer."""
+    for b in pieces(batches, "text"):
+        t, index = _words(b.column("text"))
+        data = _pack(t).tobytes()
+        yield pa.record_batch([pa.array(ids(b)), pa.array([data[BYTES * i : BYTES * j] for i, j in zip(index, index[1:])], pa.binary())], ["doc_id", "body"])
+
+
+def _stretches(words: int):
     """For each phrase that several documents have: the windows of which it is the least phrase, with their words.
 
-    hot: instead, those of the phrases marked as hot, (window, doc_id, start) of each.
+    Of the phrases marked as hot, each window on its own, under its own hash and without words.
     """
 
     span = span_of(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            raw, off = text_buffer(b.column("text"))
-            t, _, _, index = tokens(raw, off)
+        for b in pieces(batches, "body"):
+            bodies = b.column("body").to_pylist()
+            t, index = _unpack(b"".join(bodies)), np.concatenate([[0], np.cumsum([len(x) // BYTES for x in bodies])])
             row, s, e, ranges = phrases(t, index, words)
             if not len(s):
                 continue
@@ -144,8 +157,8 @@ def _stretches(words: int, hot: bool):
             flat = flat.view(U)
             bounds = np.concatenate([[0], np.cumsum(shared.value_lengths().to_numpy())])
             doc = ids(b)
-            out = []
-            windows = Ranges(t & (U(2**64 - 1) << U(64 - 8 * BYTES))) if hot else None
+            packed = _pack(t)
+            out, single = [], []
             for r in np.unique(row):
                 lo, hi = np.searchsorted(row, (r, r + 1))
                 hs, ss, es = h[lo:hi], s[lo:hi], e[lo:hi]
@@ -165,19 +178,19 @@ def _stretches(words: int, hot: bool):
                     better = (k < width) & ((hs[j] < best) | (choice < 0))
                     best[better], choice[better] = hs[j[better]], j[better]
                 ok = (choice >= 0) & often[np.maximum(choice, 0)]
-                ok &= np.isin(hs, mine[marked])[np.maximum(choice, 0)] == hot
-                if hot:
-                    at = np.flatnonzero(ok)
-                    out.append((windows(first + at, first + at + words).view(np.int64), np.full(len(at), doc[r]), at))
-                    continue
-                key = np.where(ok, choice, -1)
+                hot = ok & np.isin(hs, mine[marked])[np.maximum(choice, 0)]
+                if hot.any():
+                    at = np.flatnonzero(hot)
+                    single.append((ranges(first + at, first + at + words).view(np.int64), np.full(len(at), doc[r]), at))
+                key = np.where(ok & ~hot, choice, -1)
                 cuts = np.flatnonzero(np.diff(key)) + 1
                 for p, q in zip([0, *cuts], [*cuts, count]):
                     if key[p] >= 0:
-                        out.append((int(hs[key[p]].view(np.int64)), int(doc[r]), int(p), int(q - p), _pack(t[first + p : first + q - 1 + words])))
-            if out and hot:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["window", "doc_id", "start"])
-            elif out:
+                        out.append((int(hs[key[p]].view(np.int64)), int(doc[r]), int(p), int(q - p), packed[first + p : first + q - 1 + words].tobytes()))
+            if single:
+                w, d, at = (np.concatenate(c) for c in zip(*single))
+                yield pa.record_batch([pa.array(w), pa.array(d), pa.array(at.astype(np.int32)), pa.array(np.ones(len(w), np.int32)), pa.nulls(len(w), pa.binary())], ["phrase", "doc_id", "start", "windows", "body"])
+            if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["phrase", "doc_id", "start", "windows", "body"])
 
     return run
@@ -295,7 +308,34 @@ def _classes(words: int):
         known: dict[bytes, int] = {}
         held: list[list] = [[], [], []]
         size, last = 0, None
+        # of the window at hand: its hash, the least document, that one's places so far, and whether another one has it
+        window, least, places, open_ = None, 0, [], True
         for b in batches:
+            alone = b.column("body").is_null().to_numpy(zero_copy_only=False)
+            if alone.any():
+                part = b.filter(pa.array(alone))
+                key, doc, at = (part.column(n).to_numpy() for n in ("phrase", "doc_id", "start"))
+                at = at.astype(np.int64)
+                cuts = np.flatnonzero(np.diff(key)) + 1
+                spans: list[tuple] = []
+                for p, q in zip([0, *cuts], [*cuts, len(key)]):
+                    if key[p] != window:
+                        window, least, places, open_ = key[p], doc[p], [], True
+                    z = p
+                    if open_:
+                        z = p + int(np.searchsorted(doc[p:q], least, side="right"))
+                        places += at[p:z].tolist()  # places of one document
+                        if z < q:
+                            open_ = False
+                            places = sorted(set(places))
+                            spans.append((np.full(len(places), least), np.array(places), np.arange(len(places)) > 0))
+                            places = []
+                    if z < q:
+                        spans.append((doc[z:q], at[z:q], np.ones(q - z, bool)))
+                if spans:
+                    d, a, c = (np.concatenate(x) for x in zip(*spans))
+                    yield pa.record_batch([pa.array(d.astype(np.int64)), pa.array(a), pa.array(a + words), pa.array(c)], ["doc_id", "first_word", "end_word", "is_copy"])
+                b = b.filter(pa.array(~alone))
             for phrase, doc, start, body in zip(*(b.column(n).to_pylist() for n in ("phrase", "doc_id", "start", "body"))):
                 if size > CHUNK and phrase != last:  # the stretches of a phrase stay together
                     yield solve(list(known), *held)
@@ -324,13 +364,9 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = rows.mapInArrow(_phrases(words), "phrase long, doc_id long")
     several = cut(found.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("phrase", (F.col("n") > HOT).alias("hot")))
     per_doc = found.join(several, "phrase").groupBy("doc_id").agg(F.collect_set(F.struct("phrase", "hot")).alias("phrases"))
-    chosen = rows.join(per_doc, "doc_id")
-    stretches = chosen.mapInArrow(_stretches(words, False), "phrase long, doc_id long, start int, windows int, body binary")
-    spans = stretches.repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_classes(words), "doc_id long, first_word long, end_word long, is_copy boolean")
-    if not several.where("hot").isEmpty():
-        windows = cut(chosen.mapInArrow(_stretches(words, True), "window long, doc_id long, start long").distinct())
-        head = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id <> last")
-        spans = spans.unionByName(windows.join(head, "window").select("doc_id", F.col("start").alias("first_word"), (F.col("start") + words).alias("end_word"), (F.struct("doc_id", "start") != F.col("head")).alias("is_copy")))
+    stretches = rows.mapInArrow(_packed, "doc_id long, body binary").join(per_doc, "doc_id").mapInArrow(_stretches(words), "phrase long, doc_id long, start int, windows int, body binary")
+    placed = stretches.repartition("phrase").sortWithinPartitions("phrase", F.col("body").isNull(), "doc_id", "start")
+    spans = placed.mapInArrow(_classes(words), "doc_id long, first_word long, end_word long, is_copy boolean")
     inside = W.partitionBy("doc_id", "is_copy").orderBy("first_word", "end_word")
     reach = F.max("end_word").over(inside.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce((F.col("first_word") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
