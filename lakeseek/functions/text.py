@@ -81,15 +81,13 @@ def half_width(c: Column) -> Column:
 
 
 def simplified(c: Column) -> Column:
-    """Words of the table first, then single signs; texts without a sign of either pass."""
-    any_of = "[" + "".join(sorted(set(TRADITIONAL) | {s for w, t in WORDS for s, r in zip(w, t) if s != r})) + "]"
-
+    """Words of the table first, then single signs; texts without a Han sign pass."""
     def convert(x: Column) -> Column:
         for old, new in WORDS:
             x = F.replace(x, F.lit(old), F.lit(new))
         return F.translate(x, TRADITIONAL, SIMPLIFIED)
 
-    return let(c, lambda x: F.when(x.rlike(any_of), convert(x)).otherwise(x))
+    return let(c, lambda x: F.when(x.rlike("[\u4e00-\u9fff]"), convert(x)).otherwise(x))
 
 
 def remove_watermarks(c: Column) -> Column:

@@ -48,13 +48,15 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str =
     Up to ``most`` queries at a time are sent to the tasks, which multiply them with whole Arrow batches of vectors and keep the best k
     of each batch, ties included, so little is shuffled. A null query or vector, or one of another length, has score 0.
     """
-    blocks = max(1, -(-queries.count() // most))
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+    first = asked.limit(most + 1).collect()
+    blocks = 1 if len(first) <= most else -(-asked.count() // most)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     slim = vectors.select(key, F.col(vector).cast("array<double>").alias("_v"))
     out = None
     for block in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col("query").cast("array<double>").alias("query")).collect()
-        part = slim.mapInPandas(_products([r.query_id for r in asked], [r.query for r in asked], k, key), kinds)
+        rows = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        part = slim.mapInPandas(_products([r.query_id for r in rows], [r.query for r in rows], k, key), kinds)
         out = part if out is None else out.unionAll(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -325,12 +325,12 @@ def _link_sql(c: str) -> str:
 
 
 _STEPS = [("a", _half_sql), ("b", _noise_sql), ("c", _link_sql), ("d", lambda c: f"regexp_replace({c}, '(?m)^\\s*[0-9]+[.)]\\s+', '', 'g')"), ("e", _watermark_sql), ("f", _simplified_sql), ("g", _mask_sql), ("h", _paragraph_sql), ("i", _basic_sql)]
-_CLEAN = f"with z as (select doc_id, {_MARKED} as t from documents)" + "".join(f", {n} as (select doc_id, {f('t')} as t from {'zabcdefgh'[k]})" for k, (n, f) in enumerate(_STEPS)) + " select doc_id, t as text from i"
+_CLEAN = f"with z as (select doc_id, {_T} as t from documents)" + "".join(f", {n} as (select doc_id, {f('t')} as t from {'zabcdefgh'[k]})" for k, (n, f) in enumerate(_STEPS)) + " select doc_id, t as text from i"
 
 
 @query(_CLEAN)
 def clean_text(spark, sf):
-    return _marked(spark, sf, text.clean_text)
+    return _documents(spark, sf, "text", text.clean_text)
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
