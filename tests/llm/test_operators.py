@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,30 +199,31 @@ def _recall(got, v, queries):
 
 
 def test_neighbours_recall_and_odd_rows(spark):
-    v = np.random.default_rng(11).standard_normal((1500, 32))
-    v[700:720] = v[0] + 0.01 * v[700:720]
-    v[900:960] = v[1]  # sixty copies: ties in order of id
+    v = np.random.default_rng(11).standard_normal((600, 32))
+    v[300:320] = v[0] + 0.01 * v[300:320]
+    v[400:460] = v[1]  # sixty copies: ties in order of id
     v[5] *= 1e300
     rows = [(int(k), [float(x) for x in e], "x", 1.0) for k, e in enumerate(v)] + [(None, [1.0] * 32, "", 0.0), (9001, None, "", 0.0), (9002, [0.0] * 32, "", 0.0), (9003, [float("nan")] * 32, "", 0.0), (9004, [1.0], "", 0.0)]
     df = spark.createDataFrame([*rows, rows[3]], "vec_id long, embedding array<double>, id string, similarity double")
-    got = neighbours.neighbours(df, block=256, every=1).toPandas()
+    got = neighbours.neighbours(df, block=200, every=1).toPandas()
     v[5] /= 1e300
-    copies = got[got.vec_id == 930].sort_values("rank")
-    assert list(copies.neighbour_id) == [1, *range(900, 909)] and (copies.similarity == 1).all()
-    others = got[~got.vec_id.isin([1, *range(900, 960)])]
+    copies = got[got.vec_id == 430].sort_values("rank")
+    assert list(copies.neighbour_id) == [1, *range(400, 409)] and (copies.similarity == 1).all()
+    others = got[~got.vec_id.isin([1, *range(400, 460)])]
     assert _recall(others, v, np.array(sorted(others.vec_id.unique()))) >= 0.9
-    assert got.vec_id.max() < 1500 and got.groupby("vec_id").size().eq(10).all()
-    assert set(neighbours.neighbours(df, block=256).toPandas().vec_id) == set(range(0, 1500, 20))
+    assert got.vec_id.max() < 600 and got.groupby("vec_id").size().eq(10).all()
+    assert set(neighbours.neighbours(df, block=200).toPandas().vec_id) == set(range(0, 600, 20))
     assert neighbours.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_neighbours_compare_less_than_all(spark):
+def test_neighbours_compare_less_than_all(spark, tmp_path):
     r, shares = np.random.default_rng(3), []
     for n in (2000, 8000, 32_000):  # growth well below the square
         c = r.standard_normal((n // 40, 64))
         v = c[r.integers(0, len(c), n)] + 0.25 * r.standard_normal((n, 64))
         counter = spark.sparkContext.accumulator(0)
-        got = neighbours.neighbours(spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(v)], "vec_id long, embedding array<double>"), counter=counter).toPandas()
+        pq.write_table(pa.table({"vec_id": pa.array(range(n)), "embedding": pa.array(list(v))}), tmp_path / f"{n}.parquet")
+        got = neighbours.neighbours(spark.read.parquet(str(tmp_path / f"{n}.parquet")), counter=counter).toPandas()
         queries = np.arange(0, n, 20)
         assert _recall(got, v, queries) >= 0.9
         shares.append(counter.value / (n * len(queries)))
