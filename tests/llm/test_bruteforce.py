@@ -91,6 +91,35 @@ def test_ngram_join_leaves_large_trees(spark):
     assert {r.doc_id: r.group_id for r in ngram_join.groups(docs, hot=20).collect()} == near_groups(texts, range(120))
 
 
+def apart(seeds):
+    """Pairs of texts that just reach the threshold."""
+    return [words(3 * k, 70) + " " + words(3 * k + i, 33) for k in seeds for i in (1, 2)]
+
+
+#: Of each of these pairs the eight least n-grams by hash have none in common.
+APART = (2585, 20589, 23186, 25874, 35540, 37582, 48791)
+
+
+@pytest.mark.parametrize("levels,hot,block", [((16, 128), 512, 4096), ((2, 3), 3, 5), ((1,), 4, 4096)])
+def test_ngram_join_links(spark, monkeypatch, levels, hot, block):
+    """Every pair at the threshold is found, however few n-grams it shares, and every link of a group counts, at any limits."""
+    monkeypatch.setattr(ngram_join, "LEVELS", levels, raising=False)
+    texts = [*apart(APART), *near_copies()]
+    docs = clashing(spark, [*texts, texts[0], texts[-20] + "!"])
+    texts += [texts[0], texts[-20] + "!"]
+    sets = [trigrams(t) for t in texts]
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    assert {(2 * k, 2 * k + 1) for k in range(len(APART))} <= near
+    assert {(x.doc_a, x.doc_b) for x in ngram_join.pairs(docs, block=block, hot=hot).collect()} == near
+    truth = near_groups(texts, range(len(texts)))
+    least = {i: min(j for j in range(len(texts)) if sets[j] == sets[i]) for i in truth}
+    links = {i: len({frozenset(sets[a + b - i]) for a, b in near if i in (a, b)} - {frozenset(sets[i])}) for i in truth}
+    size = Counter(truth.values())
+    got = {x.doc_id: (x.group_id, x.group_size, x.class_id, x.links) for x in ngram_join.groups(docs, block=block, hot=hot).collect()}
+    assert got == {i: (g, size[g], least[i], links[i]) for i, g in truth.items()}
+    assert max(links.values()) > 2
+
+
 def test_components_go_on_to_the_end(spark):
     chain = [(k, k + 1) for k in range(90)] + [(1000, 1001), (7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
