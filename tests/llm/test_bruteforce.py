@@ -433,6 +433,12 @@ def test_pipeline_brute_force(spark, tmp_path):
     assert {tuple(x) for x in corpus_pipeline.run(spark, sf).collect()} == {tuple(x) for x in five.itertuples(index=False)}
 
 
+def test_pipeline_near_copies_at_the_threshold(spark):
+    """One of each pair is dropped, though their eight least n-grams by hash have none in common."""
+    docs = clashing(spark, apart(APART))
+    assert sorted(x.doc_id for x in corpus_pipeline.by_ngram_join(spark, docs, "").collect()) == list(range(0, 2 * len(APART), 2))
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
