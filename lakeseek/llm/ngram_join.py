@@ -1,6 +1,7 @@
 """N-gram Jaccard join by shared n-grams and signature trees; no pair that reaches the threshold is left out.
 
-A document's set is the distinct 64-bit hashes of its word trigrams. Documents of the same set are one class from the start.
+A document's set is the distinct 64-bit hashes of its word trigrams in lower case, letters outside ASCII too. Documents of the same set are one class
+from the start.
 
 Candidates. Every set is cut into parts by the low bits of its hashes, and the parts meet those of the other sets in buckets. There the pairs of
 classes that share an n-gram of up to ``LEVELS[0]`` classes are counted; their sums over the buckets are the exact numbers of such n-grams that
@@ -24,7 +25,7 @@ pairs of a group of copies are quadratic; ``pairs`` gives every pair with its si
 
 Defined cases: rows with a null id have no identity and are left out (``keep_one`` keeps them); texts without words (null, empty, only
 punctuation) have no n-grams and match nothing; one or two words are one n-gram; a repeated row counts once; of rows with one id and
-different texts each takes part, the id is in the group of the least id that any of them reaches, its links are those of all its texts, and ``keep_one``
+different texts each takes part, the id links all that any of them reaches into one group, its links are those of all its texts, and ``keep_one``
 keeps or drops them together; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -340,7 +341,7 @@ def traverse(x: Tree, y: Tree, threshold: float, same: bool, roots: tuple[np.nda
             if same:
                 ok = u < v if level == 0 else u <= v
                 u, v = u[ok], v[ok]
-        ok = (lox[u] * threshold <= hiy[v]) & (loy[v] * threshold <= hix[u])
+        ok = (lox[u] * threshold <= hiy[v] + 1e-9) & (loy[v] * threshold <= hix[u] + 1e-9)
         if known:
             (a, z), (c, d) = (k[min(level, len(k) - 1)] for k in known)
             ok &= (np.minimum(a[u], c[v]) != np.maximum(z[u], d[v]))
@@ -383,7 +384,7 @@ def join_task(doc: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thresho
     if len(doc) <= 2 * LEAF:
         for p, i in enumerate(one):
             for j in two[p + 1 :] if not side.any() else two:
-                if min(size[i], size[j]) >= threshold * max(size[i], size[j]):
+                if min(size[i], size[j]) >= threshold * max(size[i], size[j]) - 1e-9:
                     check(i, j)
         return found
     # alike sets have the same least hashes: in that order, the members of a node are alike and their bitmaps overlap
@@ -541,7 +542,7 @@ def _candidates(docs: DataFrame, n: int, threshold: float, hot: int) -> DataFram
 
 def _edges(docs: DataFrame, n: int, threshold: float, block: int, hot: int, every: bool, links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) with the class of every document, and the verified pairs of classes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null")
     alike = cut(docs.mapInArrow(_summary(n, 0), "doc_id long, c long, n int, least array<long>").select("doc_id", "c", "n"))
     connected = cut(components(_candidates(docs, n, threshold, hot)))
     members = connected.select(F.col("node").alias("c"), F.col("component").alias("anchor")).unionAll(connected.select(F.col("component").alias("c"), F.col("component").alias("anchor")).distinct())
@@ -578,7 +579,11 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int
         found = cut(found)
     member = alike.join(components(found), F.col("c") == F.col("node"), "left").select("doc_id", "c", F.coalesce("component", "c").alias("group"))
     least = member.groupBy("group").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("of")).where("of > 1").select("group", "group_id")
-    grouped = cut(member.join(least, "group").groupBy("doc_id").agg(F.min("group_id").alias("group_id")))
+    grouped = cut(member.join(least, "group").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.max("group_id").alias("last")))
+    several = grouped.where("group_id <> last").select("doc_id", F.col("group_id").alias("a"))
+    if not several.isEmpty():  # an id with texts of several groups makes them one
+        one = components(member.join(least, "group").join(several, "doc_id").select("a", F.col("group_id").alias("b")))
+        grouped = cut(grouped.join(one, F.col("group_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "group_id").alias("group_id")))
     size = grouped.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
     out = grouped.join(size, "group_id").select("doc_id", "group_id", "group_size")
     if not links:

@@ -439,6 +439,46 @@ def test_pipeline_near_copies_at_the_threshold(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.by_ngram_join(spark, docs, "").collect()) == list(range(0, 2 * len(APART), 2))
 
 
+def test_pipeline_near_copies_of_any_case(spark):
+    """Capitals of all letters are folded, so a copy in capitals is a copy whatever its language."""
+    r = random.Random(8)
+    plain = [" ".join("".join(r.choice("éöñжσçşd") for _ in range(4)) + r.choice("ςáx") for _ in range(40)) for _ in range(12)]
+    docs = clashing(spark, [*plain, *(t.upper() for t in plain[:4]), *(t.title() for t in plain[4:8])])
+    texts = [x.text for x in docs.orderBy("doc_id").collect()]
+    truth = near_groups(texts, range(len(texts)))
+    assert len(truth) == 16
+    assert {x.doc_id: x.group_id for x in ngram_join.groups(docs).collect()} == truth
+    assert {x.doc_id for x in corpus_pipeline.by_ngram_join(spark, docs, "").collect()} == {k for k in range(len(texts)) if truth.get(k, k) == k}
+
+
+def test_pipeline_near_copies_of_ids_with_several_texts(spark):
+    """An id with several texts links all that any of them reaches: none of these is without a row, and of each group the least id stays."""
+    r = random.Random(9)
+    texts = [t for k in range(30) for t in (words(700 + k, 40), words(700 + k, 40) + " end", words(700 + k, 40) + " other end")]
+    rows = [(r.randrange(250), t) for t in texts] + [(1003, words(1, 40)), (1005, words(1, 41)), (1005, words(2, 40)), (1007, words(2, 41)), (1009, words(2, 42))]
+    docs = clashing(spark, [t for _, t in rows], [k for k, _ in rows])
+    sets, root = [trigrams(t) for _, t in rows], {k: k for k, _ in rows}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]):
+            a, b = root[rows[i][0]], root[rows[j][0]]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    size = Counter(root.values())
+    assert {root[k] for k in (1003, 1005, 1007, 1009)} == {1003}
+    assert {x.doc_id: (x.group_id, x.group_size) for x in ngram_join.groups(docs).collect()} == {k: (g, size[g]) for k, g in root.items() if size[g] > 1}
+    assert Counter(x.doc_id for x in corpus_pipeline.by_ngram_join(spark, docs, "").collect()) == Counter(k for k, _ in rows if root[k] == k)
+
+
+@pytest.mark.parametrize("count,block", [(1, 4096), (8, 4096), (8, 4)])
+def test_near_copies_at_a_threshold_that_floats_round_up(spark, count, block):
+    """0.55 * 100 is above 55, yet 55 of 100 n-grams reach 0.55."""
+    whole = [f"w{k}" for k in range(102)]
+    texts = [" ".join(whole), *(" ".join(whole[5 * k : 5 * k + 57]) for k in range(count))]
+    docs = clashing(spark, texts)
+    got = {(x.doc_a, x.doc_b) for x in ngram_join.pairs(docs, threshold=0.55, block=block).collect()}
+    assert {(0, k) for k in range(1, count + 1)} <= got
+    assert [x.doc_id for x in ngram_join.keep_one(docs, threshold=0.55, block=block).collect()] == [0]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
