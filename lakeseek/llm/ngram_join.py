@@ -5,10 +5,11 @@ from the start.
 
 Candidates. Every set is cut into parts by the low bits of its hashes, and the parts meet those of the other sets in buckets. There the pairs of
 classes that share an n-gram of up to ``LEVELS[0]`` classes are counted; their sums over the buckets are the exact numbers of such n-grams that
-the pairs share. An n-gram of more classes is hot: it is counted for each class, not for pairs. Of a pair (a, b) at most the lesser of both hot
-counts is missing from its sum, so that a pair whose sum and this bound do not make up the overlap that its sizes need does not reach the threshold.
-A pair that shares hot n-grams only has an overlap of at least ``threshold`` times either size, so both are classes whose hot
-count is that large. These go on to the next level, where the n-grams of up to ``LEVELS[1]`` of them are counted in the same way, and what is left
+the pairs share. An n-gram of more classes is hot: it is counted for each class, not for pairs. The first level sends only the n-grams below
+one hash, the same for all sets, and each class counts its others as it does hot ones. Of a pair (a, b) at most the lesser of both counts is missing
+from its sum, so that a pair whose sum and this bound do not make up the overlap that its sizes need does not reach the threshold.
+A pair whose sum is zero has an overlap of at least ``threshold`` times either size in what is missing, so both are classes whose
+count is that large. These go on with their whole sets to the next level, where the n-grams of up to ``LEVELS[1]`` of them are counted in the same way, and what is left
 after the last level to a prefix filter: each is routed by its first n - ceil(threshold * n) + 1 n-grams, in an order that has those of
 trees of more than ``HOT`` classes last; two sets that reach the threshold share one of these. The order decides the cost only.
 The classes of a tree are chained by size.
@@ -53,6 +54,8 @@ KEPT = 32
 HOT = 512
 #: By level, n-grams of more classes than this are hot.
 LEVELS = (16, 128)
+#: The first level leaves out this share of the n-grams, as a multiple of the threshold: below 1, so that few classes miss enough for the next level.
+OUT = 0.6
 #: Pairs that a bucket holds before it adds them up.
 HELD = 4_000_000
 #: The bitmap of classes that the executors get has 2**FILTER_BITS places, whatever their number; a class too many does no harm.
@@ -76,6 +79,27 @@ def _class(h: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(h, lo) + mix(np.bitwise_xor.reduceat(h, lo) + size.astype(U))).view(np.int64)
 
 
+def _below(threshold: float) -> int:
+    """The hash below which n-grams are sent at the first level."""
+    return int((1 - OUT * threshold) * (1 << 64))
+
+
+def _classes(n: int, below: int):
+    """(doc_id, c, n, out): each text's class, size and number of n-grams that are not below the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            h, row, at = _sets(b.column("text"), n)
+            size = np.diff(at)
+            some = np.flatnonzero(size)
+            if not len(some):
+                continue
+            out = np.bincount(row[h >= U(below)], minlength=len(size))[some]
+            yield pa.record_batch([pa.array(ids(b)[some]), pa.array(_class(h, at[:-1][some], size[some])), pa.array(size[some].astype(np.int32)), pa.array(out.astype(np.int32))], ["doc_id", "c", "n", "out"])
+
+    return run
+
+
 def _summary(n: int, kept: int | None, known=None):
     """(doc_id, c, n, least): each text's class, size and ``kept`` least n-grams, of the classes of a filter if there is one."""
 
@@ -121,8 +145,20 @@ def _has(known: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (known[(slot >> U(6)).astype(np.int64)] >> (slot & U(63)) & U(1)).astype(bool)
 
 
-def _fragments(n: int, buckets: int, known=None):
-    """(k, c, n, of, grams): the parts of the sets in bucket k, packed. For each part its class, the size of its set, and its number of n-grams; then their upper halves."""
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all numbers, then the next ones: of small numbers most are zeros in a row, which the shuffle compresses."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _fragments(n: int, buckets: int, known=None, below: int | None = None):
+    """(k, c, n, of, grams): the parts of the sets in bucket k, packed. For each part its class, and in planes the size of its set and its number of n-grams; then their upper halves.
+
+    below: only n-grams below this hash are sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -136,7 +172,7 @@ def _fragments(n: int, buckets: int, known=None):
             one = some[np.unique(c[some], return_index=True)[1]]
             keep = np.zeros(len(size), bool)
             keep[one if known is None else one[_has(known.value, c[one])]] = True
-            mine = keep[row]
+            mine = keep[row] if below is None else keep[row] & (h < U(below))
             if not mine.any():
                 continue
             h, row = h[mine], row[mine]
@@ -151,8 +187,11 @@ def _fragments(n: int, buckets: int, known=None):
             def packed(values: np.ndarray, off: np.ndarray) -> pa.Array:
                 return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-            of = np.diff(np.append(part, len(k))).astype(np.uint32)
-            yield pa.record_batch([pa.array(k[part[first]].astype(np.int32)), packed(c[who], bounds), packed(size[who].astype(np.uint32), bounds), packed(of, bounds), packed(grams, ends)], ["k", "c", "n", "of", "grams"])
+            def planes(values: np.ndarray) -> pa.Array:
+                return packed(np.concatenate([_planes(values[i:j]) for i, j in zip(bounds, bounds[1:])]), 4 * bounds)
+
+            of = np.diff(np.append(part, len(k)))
+            yield pa.record_batch([pa.array(k[part[first]].astype(np.int32)), packed(c[who], bounds), planes(size[who]), planes(of), packed(grams, ends)], ["k", "c", "n", "of", "grams"])
 
     return run
 
@@ -175,7 +214,8 @@ def _counted(a: np.ndarray, b: np.ndarray, of: np.ndarray, need: np.ndarray) ->
 
 def _in_bucket(rows: list[tuple[bytes, ...]], limit: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """What the classes of a bucket share there: (a, b, n-grams of up to ``limit`` classes, overlap needed), and (a, a, hot n-grams, those needed to reach the threshold by them alone)."""
-    c, n, of, grams = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint32)))
+    c, grams = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((0, np.int64), (3, np.uint32)))
+    n, of = (np.concatenate([_from_planes(r[i]) for r in rows]) for i in (1, 2))
     of = of.astype(np.int64)
     name, first = np.unique(c, return_index=True)  # of equal texts one
     lo, n, of = (np.cumsum(of) - of)[first], n[first].astype(np.int64), of[first]
@@ -228,7 +268,7 @@ def _shared(limit: int, threshold: float):
 
 
 def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the buckets, of rows sorted by (a, b): the hot counts, which come first for each a, and the pairs for which that of a leaves the threshold in reach."""
+    """Sums over the buckets, of rows sorted by (a, b): the counts of what is missing, which come first for each a, and the pairs for which that of a leaves the threshold in reach."""
     rest = None
     for b in chain(batches, [None]):
         got = None if b is None else [b.column(x).to_numpy() for x in ("a", "b", "of", "need")]
@@ -515,13 +555,18 @@ def _spread(classes: DataFrame, anchors: int | None, most: int, threshold: float
         hot = more if hot is None else cut(hot.unionByName(more))
 
 
-def _candidates(docs: DataFrame, n: int, threshold: float, hot: int) -> DataFrame:
-    """(a, b): pairs of classes. Any two classes that reach the threshold are connected by these."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _candidates(docs: DataFrame, alike: DataFrame, n: int, threshold: float, hot: int) -> DataFrame:
+    """(a, b): pairs of classes. Any two classes that reach the threshold are connected by these. alike: what ``_classes`` gives."""
+    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    missing = alike.where("out > 0").groupBy("c").agg(F.first("out").alias("of"), F.first("n").alias("n"))
+    missing = missing.select(F.col("c").alias("a"), F.col("c").alias("b"), "of", F.expr(f"cast(ceil({threshold!r}D * n - 1e-9D) as int)").alias("need"))
     edges, known = [], None
     for limit in LEVELS:
-        parts = docs.mapInArrow(_fragments(n, buckets, known), "k int, c binary, n binary, of binary, grams binary").repartition(buckets, "k").sortWithinPartitions("k")
-        sums = cut(parts.mapInArrow(_shared(limit, threshold), COUNTED).repartition("a").sortWithinPartitions("a", "b").mapInArrow(_enough, COUNTED))
+        below, buckets = (_below(threshold), int(np.ceil((1 - OUT * threshold) * partitions))) if known is None else (None, partitions)
+        parts = docs.mapInArrow(_fragments(n, buckets, known, below), "k int, c binary, n binary, of binary, grams binary").repartition(buckets, "k").sortWithinPartitions("k")
+        counted = parts.mapInArrow(_shared(limit, threshold), COUNTED)
+        counted = counted.unionAll(missing) if known is None else counted
+        sums = cut(counted.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_enough, COUNTED))
         other = sums.where("a = b").select("b", F.col("of").alias("hot"))
         edges.append(sums.where("a <> b").join(other, "b", "left").where("of + coalesce(hot, 0) >= need").select("a", "b"))
         left = sums.where("a = b and of >= need").select(F.col("a").alias("c"))
@@ -543,8 +588,8 @@ def _candidates(docs: DataFrame, n: int, threshold: float, hot: int) -> DataFram
 def _edges(docs: DataFrame, n: int, threshold: float, block: int, hot: int, every: bool, links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) with the class of every document, and the verified pairs of classes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null")
-    alike = cut(docs.mapInArrow(_summary(n, 0), "doc_id long, c long, n int, least array<long>").select("doc_id", "c", "n"))
-    connected = cut(components(_candidates(docs, n, threshold, hot)))
+    alike = cut(docs.mapInArrow(_classes(n, _below(threshold)), "doc_id long, c long, n int, out int"))
+    connected = cut(components(_candidates(docs, alike, n, threshold, hot)))
     members = connected.select(F.col("node").alias("c"), F.col("component").alias("anchor")).unionAll(connected.select(F.col("component").alias("c"), F.col("component").alias("anchor")).distinct())
     members = members.join(members.groupBy("anchor").agg(F.count("*").alias("of")), "anchor")
     by_size = W.partitionBy("anchor").orderBy("n", "c")

@@ -120,6 +120,37 @@ def test_ngram_join_links(spark, monkeypatch, levels, hot, block):
     assert max(links.values()) > 2
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_ngram_join_shuffles_less_than_its_sets(spark):
+    """Unlike texts: what is shuffled stays under the four bytes that each n-gram takes in its bucket, as not all are sent."""
+    texts = [" ".join(str(w) for w in random.Random(k).sample(range(10**6), 600)) for k in range(300)]
+    before = shuffled(spark)
+    assert ngram_join.groups(clashing(spark, texts)).count() == 0
+    assert shuffled(spark) - before < 3.6 * sum(len(trigrams(t)) for t in texts)
+
+
+@pytest.mark.parametrize("levels", [(16, 128), (1,)])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.9])
+def test_ngram_join_pairs_of_what_is_not_sent(spark, monkeypatch, levels, threshold):
+    """Pairs that share few n-grams, of some all among those that the first level leaves out."""
+    monkeypatch.setattr(ngram_join, "LEVELS", levels)
+    texts = [t for k in range(60) for t in (words(k, 3 + k // 12), words(k, 3 + k // 12) + " more" * (1 + k % 2))]
+    sets = [trigrams(t) for t in texts]
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+    column = clashing(spark, texts).toArrow().column("text").combine_chunks()
+    h, _, at = ngram_join._sets(column, 3)
+    sent = [set(h[a:b][h[a:b] < ngram_join._below(threshold)].tolist()) for a, b in zip(at, at[1:])]
+    assert threshold > 0.5 or any(not sent[i] & sent[j] for i, j in near)
+    assert {(x.doc_a, x.doc_b) for x in ngram_join.pairs(clashing(spark, texts), threshold=threshold).collect()} == near
+
+
 def test_components_go_on_to_the_end(spark):
     chain = [(k, k + 1) for k in range(90)] + [(1000, 1001), (7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
