@@ -6,6 +6,7 @@ Traversals are at most three joins deep and keep only ids on the way; nothing is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,17 +68,30 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth:
     depth = max(1, depth) if clamp else depth
     own = starts.select(F.col("node_id").alias("start"), "node_id")
     found = reach(edges, own, depth)
+    last_level = min(depth, DEPTH)
+    full = None
     if limit > 0 and depth > 1:
         size = found.groupBy("start", "hops").agg(F.count("*").alias("n"))
         before = W.partitionBy("start").orderBy("hops").rowsBetween(W.unboundedPreceding, -1)
-        open_ = size.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < limit)
+        sizes = size.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        open_ = sizes.where(F.col("before") < limit)
         found = found.join(open_.select("start", "hops"), ["start", "hops"])
-    last = own.select("start", "node_id", F.lit(0).alias("hops")).unionByName(found)
-    inside = last.select("start", "node_id", "hops")
-    a, b = (inside.select(F.col("start").alias(f"s{x}"), F.col("node_id").alias(x), F.col("hops").alias(f"h{x}")) for x in ("a", "b"))
-    # an edge is met when the nearer end is left behind
-    met = edges.join(a, F.col("src") == F.col("a")).join(b, (F.col("dst") == F.col("b")) & (F.col("sa") == F.col("sb"))).where(F.least("ha", "hb") < (depth if depth > 0 else 0))
-    links = met.select(*edges.columns).dropDuplicates(["src", "dst", "type"])
+        full = sizes.where(F.col("before") + F.col("n") >= limit).groupBy("start").agg(F.min("hops").alias("stop"))
+    inside = own.select("start", "node_id", F.lit(0).alias("hops")).where(F.lit(depth > 0))
+    inside = inside.unionByName(found.where(F.col("hops") < depth)) if depth > 1 else inside
+    # an edge is met when the nearer end is left behind: every edge of a node from which a further level was taken, whoever its start is
+    goes = F.col("hops") < last_level
+    if full is not None:
+        inside = inside.join(full, "start", "left")
+        goes = goes & (F.col("stop").isNull() | (F.col("hops") < F.col("stop")))
+    left = inside.where(goes).select("node_id").distinct()
+    whole = edges.where("src is not null and dst is not null")
+    ways = [whole.join(left.select(F.col("node_id").alias(c)), c, "left_semi").select(*edges.columns) for c in ("src", "dst")]
+    if depth > 1:  # within the last level of a start that is not the last of all, only the edges between its nodes
+        held = inside.where(~goes).select("start", "node_id", "hops")
+        a, b = (held.select(F.col("start").alias(f"s{x}"), F.col("node_id").alias(x), F.col("hops").alias(f"h{x}")) for x in ("a", "b"))
+        ways.append(whole.join(a, F.col("src") == F.col("a")).join(b, (F.col("dst") == F.col("b")) & (F.col("sa") == F.col("sb")) & (F.col("ha") == F.col("hb"))).select(*edges.columns))
+    links = reduce(DataFrame.unionAll, ways).dropDuplicates(["src", "dst", "type"])
     around = found.select("node_id").distinct().join(starts.select("node_id"), "node_id", "left_anti") if clamp else found.select("node_id").distinct()
     return nodes.join(around, "node_id", "left_semi"), links
 

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lakeseek.operators import code
+from lakeseek.operators import code, graph
 
 
 def _module(n: int) -> str:
@@ -53,3 +53,53 @@ def test_calls_against_plain_rules(spark):
     assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()  # no pairs of points and intervals
     rows = [tuple(x) for x in code.resolve(p, s.withColumn("receiver", F.lit(""))).collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def _joined(df) -> int:
+    """The most rows that any join of a table gives."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        x = todo.pop()
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(x.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(x.plan())
+        else:
+            todo += [x.children().apply(k) for k in range(x.children().size())]
+        if "Join" in kind and x.metrics().contains("numOutputRows"):
+            most = max(most, x.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_edges_around_many_starts_are_no_pairs(spark):
+    n = 300
+    roots = spark.createDataFrame([(f"d{k}", "/a", f"f{k}") for k in range(n)], "node_id string, dir string, file_name string")
+    nodes = spark.createDataFrame([(f"d{k}", ["Document"], f"d{k}", {}) for k in range(n)] + [("e", ["Entity"], "e", {})], "node_id string, labels array<string>, name string, properties map<string,string>")
+    edges = spark.createDataFrame([(f"h{k}", f"d{k}", "e", "HAS") for k in range(n)], "edge_id string, src string, dst string, type string")
+    links = graph.explore_region(*graph.save_roots(nodes, edges, roots), "/a")[1]
+    assert links.count() == 2 * n and _joined(links) <= 4 * n
+
+
+def test_neighbourhood_against_plain_search(spark):
+    r = random.Random(5)
+    pairs = sorted({(f"n{r.randrange(30)}", f"n{r.randrange(30)}", r.choice("xy")) for _ in range(45)})
+    edges = spark.createDataFrame([(str(k), *p) for k, p in enumerate(pairs)] + [("null", "n1", None, "x")], "edge_id string, src string, dst string, type string")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(30)], "node_id string")
+    for depth, limit, clamp, starts in ((1, 100, True, ["n1", "n2", "n3"]), (2, 3, True, ["n1", "n4"]), (3, 4, True, ["n1", "n2", "n9"]), (3, 0, True, ["n5"]), (2, 2, False, ["n1", "n7"]), (5, 100, True, ["n2"]), (0, 5, False, ["n1"])):
+        around, met = set(), set()
+        for s in starts:
+            hops, count = {s: 0}, 0
+            for h in range(1, min(depth, 3) + 1):
+                if depth > 1 and limit > 0 and count >= limit:
+                    break
+                new = {y for a, b, _ in [*pairs, ("n1", None, "x")] for x, y in ((a, b), (b, a)) if x is not None and hops.get(x) == h - 1} - set(hops)
+                hops |= dict.fromkeys(new, h)
+                count += len(new)
+            around |= set(hops) - {s, None}
+            met |= {(a, b, t) for a, b, t in pairs if a in hops and b in hops and min(hops[a], hops[b]) < depth}
+        got, links = graph.neighbourhood(nodes, edges, spark.createDataFrame([(x,) for x in starts], "node_id string"), depth, limit, clamp)
+        assert {x.node_id for x in got.collect()} == (around - set(starts) if clamp else around)
+        rows = [(x.src, x.dst, x.type) for x in links.collect()]
+        assert set(rows) == met and len(rows) == len(met) and links.columns == edges.columns
