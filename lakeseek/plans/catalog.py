@@ -557,8 +557,8 @@ _SPANS = "s as (select o_custkey as file, o_orderkey as sid, (epoch(o_orderdate)
 
 @query(f"""with {_SPANS} select a.file, a.sid, arg_min(b.sid, (b.stop - b.start, -b.sid)) as parent from s a left join s b on a.file = b.file and b.start <= a.start and a.stop <= b.stop and a.sid <> b.sid and (b.start < a.start or a.stop < b.stop or b.sid < a.sid) group by 1, 2""")
 def code_containment(spark, sf):
-    day = F.expr("cast(unix_micros(cast(o_orderdate as timestamp)) div 86400000000 as bigint)")
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("sid"), day.alias("start"), (day + F.expr("cast(round(o_totalprice) as bigint) % 400")).alias("end"))
+    day = F.expr("cast(rint(unix_micros(cast(o_orderdate as timestamp)) / 86400000000D) as bigint)")  # halves go to the even number, as in DuckDB
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("sid"), day.alias("start"), (day + F.expr("cast(rint(o_totalprice) as bigint) % 400")).alias("end"))
     return code.containment(o, "file")
 
 

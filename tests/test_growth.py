@@ -1,11 +1,13 @@
 """Steps whose work must grow no faster than their input, against plain versions."""
 
+import datetime
 import random
 import time
 
 from pyspark.sql import functions as F
 
 from lakeseek.operators import code, graph
+from lakeseek.plans import catalog
 
 
 def _module(n: int) -> str:
@@ -103,3 +105,11 @@ def test_neighbourhood_against_plain_search(spark):
         assert {x.node_id for x in got.collect()} == (around - set(starts) if clamp else around)
         rows = [(x.src, x.dst, x.type) for x in links.collect()]
         assert set(rows) == met and len(rows) == len(met) and links.columns == edges.columns
+
+
+def test_containment_rounds_halves_to_even(spark, tmp_path):
+    day = lambda hours: datetime.datetime(1970, 1, 1) + datetime.timedelta(hours=hours)
+    rows = [(1, 1, day(0), 402.5), (2, 1, day(0), 403.0), (3, 2, day(36), 401.0), (4, 2, day(48), 401.0), (5, 2, day(12), 800.5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    # spans: 0-2 in 0-3; 2-3 is twice there, the lesser outside; 0-0
+    assert {x.sid: x.parent for x in catalog.code_containment(spark, str(tmp_path)).collect()} == {1: 2, 2: None, 3: None, 4: 3, 5: None}
