@@ -1,14 +1,13 @@
 """Splitters: Markdown sections, greedy lines, the router; strategy and MIME labels as columns.
 
-A document is split where it lies, by an Arrow function over its rows: no text is shuffled.
+A document is split where it lies, by a Python function: no text is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,20 +81,18 @@ def sections_of(text: str) -> list[tuple[int, int, str, str, int, int, int, int,
     return out
 
 
-PLACES = ["index", "level", "title", "content", "start_pos", "end_pos", "start_line", "end_line", "parent"]
+def parsed(docs: DataFrame, key: str, text: str, f: Callable[[str], list[tuple]], columns: str) -> DataFrame:
+    """(key, columns): the rows that a Python function makes of each text; a null one is empty.
+
+    A plain function gets 100 texts at once, an Arrow one 10,000: with these, their rows and the copies of both a worker would hold GBs.
+    """
+    make = F.udf(f, f"array<struct<{', '.join(c.replace(' ', ': ') for c in columns.split(', '))}>>", useArrow=False).asNondeterministic()  # so that it runs once
+    return docs.select(key, make(F.coalesce(text, F.lit(""))).alias("_rows")).select(key, F.inline("_rows"))
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, index, level, title, content, start_pos, end_pos, start_line, end_line, parent): bytes and lines as well. Null and blank texts have none."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(k, *x) for k, t in zip(p["_k"], p["_t"]) for x in sections_of(t)]
-            yield pd.DataFrame(rows, columns=[key, *PLACES]).astype({"parent": "Int64"})
-
-    rows = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
-    return rows.mapInPandas(run, f"{key} {kind}, index long, level int, title string, content string, start_pos long, end_pos long, start_line int, end_line int, parent long")
+    return parsed(docs, key, text, sections_of, "index long, level int, title string, content string, start_pos long, end_pos long, start_line int, end_line int, parent long")
 
 
 def markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -132,14 +129,7 @@ def _fill(text: str, limit: int) -> list[str]:
 
 def lines(docs: DataFrame, key: str, text: str, limit: int = LINE_BYTES) -> DataFrame:
     """(key, index, content): whole lines, as many as fit into ``limit`` bytes; a longer line stands alone. Linear in the text."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(k, i, x) for k, t in zip(p["_k"], p["_t"]) for i, x in enumerate(_fill(t, limit))]
-            yield pd.DataFrame(rows, columns=[key, "index", "content"])
-
-    return docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).mapInPandas(run, f"{key} {kind}, index int, content string")
+    return parsed(docs, key, text, lambda t: list(enumerate(_fill(t, limit))), "index int, content string")
 
 
 def log_entries(docs: DataFrame, key: str, text: str) -> DataFrame:

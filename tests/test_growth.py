@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lakeseek.operators import code, graph
+from lakeseek.operators import code, graph, split
 from lakeseek.plans import catalog
 
 
@@ -113,3 +113,17 @@ def test_containment_rounds_halves_to_even(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     # spans: 0-2 in 0-3; 2-3 is twice there, the lesser outside; 0-0
     assert {x.sid: x.parent for x in catalog.code_containment(spark, str(tmp_path)).collect()} == {1: 2, 2: None, 3: None, 4: 3, 5: None}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_take_few_texts_at_once(spark):
+    texts = [(k, t) for k, t in enumerate(["a\n# b\nc", "", None, "# x\r\n## y\nz\n\n", "Title\n=====\né", "```\n# no\n```"])]
+    got = split.sections(spark.createDataFrame(texts, "page_id long, md string"), "page_id", "md")
+    assert [tuple(x) for x in got.orderBy("page_id", "index").collect()] == [(k, *x) for k, t in texts for x in split.sections_of(t or "")]
+    assert _plan(got).count("BatchEvalPython") == 1 and "MapInPandas" not in _plan(got)  # 100 texts, not 10,000; each read once
+    rows = split.lines(spark.createDataFrame(texts, "page_id long, md string"), "page_id", "md", 4)
+    assert [tuple(x) for x in rows.orderBy("page_id", "index").collect()] == [(k, i, x) for k, t in texts for i, x in enumerate(split._fill(t or "", 4))]
+    assert "MapInPandas" not in _plan(rows)
