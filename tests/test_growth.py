@@ -127,3 +127,11 @@ def test_sections_take_few_texts_at_once(spark):
     rows = split.lines(spark.createDataFrame(texts, "page_id long, md string"), "page_id", "md", 4)
     assert [tuple(x) for x in rows.orderBy("page_id", "index").collect()] == [(k, i, x) for k, t in texts for i, x in enumerate(split._fill(t or "", 4))]
     assert "MapInPandas" not in _plan(rows)
+
+
+def test_parents_of_sections_run_the_reader_once(spark, tmp_path):
+    pages = [(k, f"http://x/{k}", f"<title>t{k}</title><p>b</p>") for k in range(4)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.md_parent(spark, str(tmp_path))
+    assert sorted((x.page_id, x.index, x.parent) for x in got.collect() if x.page_id < 2) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (0, 4, 1), (1, 1, None), (1, 2, 1), (1, 3, 1)]
+    assert _plan(got).count("BatchEvalPython") == 1 and "MapInPandas" not in _plan(got)
