@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..checkpoints import cut
 from ..functions import ids, text
@@ -355,7 +354,7 @@ def page_title(spark, sf):
 
 @query()
 def page_markdown(spark, sf):
-    to_md = F.pandas_udf(lambda s: s.map(files.html_to_markdown), T.StringType())
+    to_md = F.udf(files.html_to_markdown, "string", useArrow=False)  # 100 pages at once, not 10,000
     return table(spark, sf, "pages").select("page_id", to_md("html").alias("markdown"))
 
 

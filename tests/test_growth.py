@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeseek.operators import code, graph, split
 from lakeseek.plans import catalog
+from lakeseek.sources import files
 
 
 def _module(n: int) -> str:
@@ -135,3 +136,11 @@ def test_parents_of_sections_run_the_reader_once(spark, tmp_path):
     got = catalog.md_parent(spark, str(tmp_path))
     assert sorted((x.page_id, x.index, x.parent) for x in got.collect() if x.page_id < 2) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (0, 4, 1), (1, 1, None), (1, 2, 1), (1, 3, 1)]
     assert _plan(got).count("BatchEvalPython") == 1 and "MapInPandas" not in _plan(got)
+
+
+def test_page_markdown_takes_few_pages_at_once(spark, tmp_path):
+    pages = [(1, "<h1>A</h1><p>b &amp; <b>c</b></p>"), (2, None), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.page_markdown(spark, str(tmp_path))
+    assert {x.page_id: x.markdown for x in got.collect()} == {k: files.html_to_markdown(t) for k, t in pages}
+    assert "BatchEvalPython" in _plan(got) and "ArrowEvalPython" not in _plan(got)
