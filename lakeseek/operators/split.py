@@ -229,18 +229,29 @@ def strategy(text: Column, mime_: Column | None = None) -> Column:
     return F.when(mime_.isin("application/json", "text/yaml", "text/xml", "application/xml", "text/toml"), "recursive").when(mime_.isin("text/html", "text/markdown"), "paragraph").otherwise(label)
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def mime(text: Column) -> Column:
     """The MIME type that a text looks like, by rules in a fixed order; the last is text/plain."""
-    t = F.regexp_replace(text, "^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$", "")
-    rows = F.filter(_lines(t), lambda x: x != "")
+    return mime_of_stripped(stripped(text))
+
+
+def mime_of_stripped(t: Column) -> Column:
+    """``mime`` of a text without blanks around it. Rows are looked at without spaces around them, by patterns over the whole text: no rows are made."""
+    row = "(?md)^ *+"  # flag d: only \n ends a row
+    mark = "#|\\*|---|===|```|(?:- |[12]\\. |> ) *+[^\\n]"
+    ascii_, two = "[\\x00-\\x09\\x0b-\\x7f]", "[\\x{80}-\\x{7ff}]"
+    short = f"(?:{ascii_}{{1,3}}|{two}{ascii_}?|{ascii_}{two}|[\\x{{800}}-\\x{{ffff}}]) *+$"  # of at most three bytes
+    decides = F.regexp_extract(t, f"{row}(?:({mark})|(?=[^ \\n])(?!{short}))", 1)  # of the first row that is marked or not short
     starts = lambda x, *words: x.rlike("^(?:" + "|".join(words) + ")")
-    marked = lambda x: x.rlike("^(?:#|[-*] |[12]\\. |> |---|===|\\*|```)")
-    decides = F.get(F.filter(rows, lambda x: marked(x) | (F.octet_length(x) > 3)), F.lit(0))
-    toml = F.forall(rows, lambda x: x.startswith("#") | (x.startswith("[") & x.endswith("]")) | x.contains("="))
-    css = F.exists(rows, lambda x: ~x.startswith("/*") & (x.contains("{") | x.contains("}") | (x.contains(":") & x.contains(";"))))
-    graphql = F.exists(rows, lambda x: starts(x, *[f"{w} " for w in "type query mutation subscription fragment schema extend enum interface union input scalar directive".split()]))
-    sql = F.upper(t).rlike("^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|TABLE|INDEX|VIEW|FROM|WHERE|JOIN|LEFT|RIGHT|INNER|OUTER|GROUP BY|ORDER BY|HAVING|LIMIT|OFFSET)")
-    line = F.coalesce(F.get(F.filter(rows, lambda x: ~x.startswith("//") & ~x.startswith("#")), F.lit(0)), F.lit(""))
+    toml = ~t.rlike(f"{row}(?=[^ \\n])(?!#|\\[[^\\n]*\\] *+$|[^\\n=]*+=)")
+    signs = t.contains("{") | t.contains("}") | (t.contains(":") & t.contains(";"))
+    css = signs & t.rlike(f"{row}(?!/\\*)(?:[^\\n{{}}]*+[{{}}]|(?=[^\\n:]*+:)[^\\n;]*+;)")
+    graphql = t.rlike(f"{row}(?:type|query|mutation|subscription|fragment|schema|extend|enum|interface|union|input|scalar|directive) ++[^\\n]")
+    sql = F.upper(F.substring(t, 1, 16)).rlike("^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|TABLE|INDEX|VIEW|FROM|WHERE|JOIN|LEFT|RIGHT|INNER|OUTER|GROUP BY|ORDER BY|HAVING|LIMIT|OFFSET)")
+    line = F.coalesce(F.rtrim(F.regexp_extract(t, f"{row}(?!//|#)([^ \\n][^\\n]*+)", 1)), F.lit(""))
     typed = line.contains(": ") & (line.contains("interface") | line.contains("type "))
     program = (
         F.when(starts(line, "package ", "import ") & t.contains("func "), "text/x-go").when(starts(line, "def ", "class ", "import ", "from "), "text/x-python").when(starts(line, "public class", "private ", "protected "), "text/x-java")
@@ -251,7 +262,7 @@ def mime(text: Column) -> Column:
     closed = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
     return (
         F.when(t == "", "text/plain").when(closed, "application/json").when(starts(t, "<\\?", "<!", "<html", "<head", "<body", "<div", "<p>", "<span"), "text/html").when(t.startswith("---"), "text/yaml")
-        .when((t.startswith("[") | (t.contains("=") & ~t.contains(":"))) & toml, "text/toml").when(F.coalesce(marked(decides), F.lit(False)), "text/markdown").when(t.startswith("{") | css, "text/css").when(graphql, "application/graphql").when(sql, "text/sql")
+        .when((t.startswith("[") | (t.contains("=") & ~t.contains(":"))) & toml, "text/toml").when(F.coalesce(decides != "", F.lit(False)), "text/markdown").when(t.startswith("{") | css, "text/css").when(graphql, "application/graphql").when(sql, "text/sql")
         .otherwise(F.coalesce(program, F.lit("text/plain")))
     )
 

@@ -134,7 +134,7 @@ def test_parents_of_sections_run_the_reader_once(spark, tmp_path):
     pages = [(k, f"http://x/{k}", f"<title>t{k}</title><p>b</p>") for k in range(4)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalog.md_parent(spark, str(tmp_path))
-    assert sorted((x.page_id, x.index, x.parent) for x in got.collect() if x.page_id < 2) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (0, 4, 1), (1, 1, None), (1, 2, 1), (1, 3, 1)]
+    assert sorted((x["page_id"], x["index"], x["parent"]) for x in got.collect() if x["page_id"] < 2) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (0, 4, 1), (1, 1, None), (1, 2, 1), (1, 3, 1)]
     assert _plan(got).count("BatchEvalPython") == 1 and "MapInPandas" not in _plan(got)
 
 
@@ -144,3 +144,10 @@ def test_page_markdown_takes_few_pages_at_once(spark, tmp_path):
     got = catalog.page_markdown(spark, str(tmp_path))
     assert {x.page_id: x.markdown for x in got.collect()} == {k: files.html_to_markdown(t) for k, t in pages}
     assert "BatchEvalPython" in _plan(got) and "ArrowEvalPython" not in _plan(got)
+
+
+def test_mime_by_patterns_over_the_text(spark):
+    want = {" \n": "text/plain", "abc\n- \n* x": "text/markdown", "- \nlong line": "text/plain", "1. ====>\n\x85": "text/markdown", "é1\n# a": "text/markdown", "éa1\n# a": "text/plain", "x\n  type q": "application/graphql", "x\ntype  ": "text/plain", "abcd\n/* { */": "text/plain", "abcd\n a: b;": "text/css", "a=1\n# b\n[c] ": "text/toml", "a=1\nb": "text/plain", "// x\n  import os ": "text/x-python", "Select 1": "text/sql", "中\n> q": "text/markdown", "😀\n> q": "text/plain"}
+    rows = spark.createDataFrame([(t,) for t in [*want, None]], "t string").select("t", split.mime(F.col("t")).alias("m"))
+    assert {x.t: x.m for x in rows.collect()} == want | {None: "text/plain"}
+    assert "filter(" not in _plan(rows) and "split(" not in _plan(rows)
