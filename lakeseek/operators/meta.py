@@ -86,8 +86,39 @@ def folder_sizes(files: DataFrame, folder: str, size: str) -> DataFrame:
     return files.groupBy(folder).agg(F.count("*").alias("documents"), F.sum(size).alias("size"))
 
 
+#: Rows that a task makes of a product, about; as many relations and as many entities of a name are in a block.
+TASK_ROWS, BLOCK = 4_000_000, 1_000
+
+
 def relations_to_ids(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations (subject, predicate, object) between the ids of entities (name, entity_id); those with an unknown end are left out."""
-    s = entities.select(F.col("name").alias("subject"), F.col("entity_id").alias("src"))
-    o = entities.select(F.col("name").alias("object"), F.col("entity_id").alias("dst"))
-    return relations.join(s, "subject").join(o, "object").select("src", "dst", F.col("predicate").alias("type"))
+    """Relations (subject, predicate, object) between the ids of entities (name, entity_id); those with an unknown end are left out.
+
+    A name of many entities in many relations gives their product: the rows returned grow with the square of the input, the work of a task does not.
+    """
+    starts = with_ids(relations.select("subject", "predicate", "object"), "subject", entities, "src")
+    return with_ids(starts, "object", entities, "dst").select("src", "dst", F.col("predicate").alias("type"))
+
+
+def with_ids(rows: DataFrame, key: str, entities: DataFrame, name: str) -> DataFrame:
+    """The rows with the id of each entity (name, entity_id) that their key names.
+
+    The rows to come are counted first. If they are more than a task's, names of more than a block are joined by blocks of about ``BLOCK``
+    rows of either side, in as many tasks as the count asks for.
+    """
+    e = entities.select(F.col("name").alias(key), F.col("entity_id").alias(name))
+    count = rows.groupBy(key).agg(F.count("*").alias("_n")).join(e.groupBy(key).agg(F.count("*").alias("_m")), key).withColumn("_p", F.col("_n") * F.col("_m"))
+    gain, total = count.agg(F.sum(F.col("_p") - F.col("_n")), F.sum("_p")).first()
+    if not gain or total <= TASK_ROWS:  # as many rows as before, or few
+        return rows.join(e, key)
+    spark = rows.sparkSession
+    found = count.where(F.col("_p") > BLOCK * BLOCK)
+    large = F.broadcast(spark.createDataFrame(found.collect(), found.schema))  # at most one name for each BLOCK * BLOCK rows to come
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+
+    def blocks(df: DataFrame, own: str, other: str, a: str, b: str) -> DataFrame:
+        """Each row in a block of its own side, for every block of the other side."""
+        parts = lambda c: F.coalesce(F.ceil(F.col(c) / BLOCK), F.lit(1).cast("long"))
+        placed = df.join(large, key, "left").withColumn(a, F.pmod(F.xxhash64(*df.columns), parts(own))).withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1)))
+        return placed.drop("_n", "_m", "_p").repartition(tasks, key, "_a", "_b")
+
+    return blocks(rows, "_n", "_m", "_a", "_b").join(blocks(e, "_m", "_n", "_b", "_a").hint("merge"), [key, "_a", "_b"]).drop("_a", "_b")

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lakeseek.operators import code, graph, split
+from lakeseek.operators import code, graph, meta, split
 from lakeseek.plans import catalog
 from lakeseek.sources import files
 
@@ -134,8 +134,8 @@ def test_parents_of_sections_run_the_reader_once(spark, tmp_path):
     pages = [(k, f"http://x/{k}", f"<title>t{k}</title><p>b</p>") for k in range(4)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalog.md_parent(spark, str(tmp_path))
-    assert sorted((x["page_id"], x["index"], x["parent"]) for x in got.collect() if x["page_id"] < 2) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (0, 4, 1), (1, 1, None), (1, 2, 1), (1, 3, 1)]
     assert _plan(got).count("BatchEvalPython") == 1 and "MapInPandas" not in _plan(got)
+    assert sorted((x["page_id"], x["index"], x["parent"]) for x in got.collect() if x["page_id"] < 2) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (0, 4, 1), (1, 1, None), (1, 2, 1), (1, 3, 1)]
 
 
 def test_page_markdown_takes_few_pages_at_once(spark, tmp_path):
@@ -151,3 +151,15 @@ def test_mime_by_patterns_over_the_text(spark):
     rows = spark.createDataFrame([(t,) for t in [*want, None]], "t string").select("t", split.mime(F.col("t")).alias("m"))
     assert {x.t: x.m for x in rows.collect()} == want | {None: "text/plain"}
     assert "filter(" not in _plan(rows) and "split(" not in _plan(rows)
+
+
+def test_relations_of_a_name_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(meta, "BLOCK", 10, raising=False)
+    monkeypatch.setattr(meta, "TASK_ROWS", 500, raising=False)
+    entities = [("hot", k) for k in range(60)] + [(f"s{k}", 1000 + k) for k in range(100)] + [("two", 1), ("two", 1), (None, 7)]
+    relations = [(f"s{k}", "r", "hot") for k in range(90)] + [("s1", "r", "hot"), ("s1", "q", "two"), ("two", "q", "s2"), ("s3", "q", "none"), (None, "q", "hot"), ("s4", "q", None)]
+    got = meta.relations_to_ids(spark.createDataFrame(relations, "subject string, predicate string, object string").coalesce(1), spark.createDataFrame(entities, "name string, entity_id long"))
+    want = sorted((a, b, p) for s, p, o in relations for n, a in entities if n == s and n for m, b in entities if m == o and m)
+    per_task = [len(x) for x in got.rdd.glom().collect()]
+    assert sorted(tuple(x) for x in got.collect()) == want and got.columns == ["src", "dst", "type"]
+    assert sum(per_task) == len(want) and max(per_task) < len(want) / 2  # one task had all of the name
